@@ -98,13 +98,20 @@ def assign(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedu
 
 
 def mix(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedule: DataFrame | None = None) -> DataFrame:
-    """The mixed corpus: every copy of a document as a row of the input's columns, range-sorted by training position."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "source", *ADDED)]
-    one = assign(docs, budget, max_repeat, schedule, keep=extra)
+    """The mixed corpus: every copy of a document as a row of the input's columns, range-sorted by training position.
+
+    Positions are worked out on rows without text; texts then are fetched by row hash, once.
+    """
+    one = assign(docs, budget, max_repeat, schedule)
     each = one.filter("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     demand = (F.col("_pass") * F.col("source_size") + F.col("_before")) / F.col("target")
-    each = each.withColumn("position", invert(F.col("pieces"), demand))
-    return each.repartitionByRange("position", "_h").sortWithinPartitions("position", "_h", "_pass").select(*[c for c in docs.columns if c in ("doc_id", "source", *extra)])
+    each = common.saved(each.select("_h", "_pass", invert(F.col("pieces"), demand).alias("_at")), "positions")
+    rows = docs.withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
+    first = each.filter("_pass = 0")
+    if first.count() != first.select("_h").distinct().count():  # rows that repeat each have positions of their own
+        rows = rows.dropDuplicates(["_h"])
+    placed = rows.join(each, "_h")
+    return placed.repartitionByRange("_at", "_h").sortWithinPartitions("_at", "_h", "_pass").select(*docs.columns)
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -51,11 +51,11 @@ def prepared(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 def split_tree(units: DataFrame, n_shards: int, exact: float = 0.002) -> list[dict]:
     """The tree's nodes: id, dimension, key threshold (units with a key at or above it go right), children or shards.
 
-    units: _u, _p, weight and scaled integer coordinates k_<dim>. One pass over the units finds all widths of a
+    units: _u, _p, weight, _node (1) and scaled integer coordinates k_<dim>. One pass over the units finds all widths of a
     level, then one pass for each STEP bits of the key that some node of the level still needs.
     """
     spark, nodes, level = units.sparkSession, [], [{"id": 1, "first": 0, "shards": n_shards}]
-    placed = units.withColumn("_node", F.lit(1).cast("long"))
+    placed = units
     while level := [x for x in level if x["shards"] > 1]:
         ranges = placed.filter(F.col("_node").isin([x["id"] for x in level])).groupBy("_node").agg(
             F.sum("weight").alias("total"), F.max("weight").alias("most"), *[(F.max(f"k_{d}") - F.min(f"k_{d}")).alias(d) for d in DIMS]
@@ -137,10 +137,10 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     units = slim.groupBy("_u", piece.alias("_p")).agg(F.sum("size").alias("weight"), *[F.min(f"_{c}").alias(f"_{c}") for c in DIMS if c != "weight"])
     scaled = lambda c: F.floor((F.col(f"_{c}") - spans[f"lo_{c}"]) / max(spans[f"hi_{c}"] - spans[f"lo_{c}"], 1e-9) * ((1 << SCALE) - 1)).cast("long") if total else F.lit(0).cast("long")
     light = (F.lit((1 << SCALE) - 1) - F.least(F.lit((1 << SCALE) - 1), F.floor(F.log2("weight") * 16384))).cast("long")
-    units = units.select("_u", "_p", "weight", F.pmod(F.xxhash64("_u", "_p"), F.lit(1 << TIE)).alias("_tie"), *[scaled(c).alias(f"k_{c}") for c in DIMS if c != "weight"], light.alias("k_weight"))
+    units = units.select("_u", "_p", "weight", F.pmod(F.xxhash64("_u", "_p"), F.lit(1 << TIE)).alias("_tie"), *[scaled(c).alias(f"k_{c}") for c in DIMS if c != "weight"], light.alias("k_weight"), F.lit(1).cast("long").alias("_node"))
     units = common.saved(units, "units")
     nodes = split_tree(units, n_shards)
-    placed, by_depth = units.withColumn("_node", F.lit(1).cast("long")), {}
+    placed, by_depth = units, {}
     for x in nodes:
         by_depth.setdefault(x["id"].bit_length(), []).append(x)
     for depth in sorted(by_depth):
