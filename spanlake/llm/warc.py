@@ -135,7 +135,9 @@ def member(handle, at: int, size: int) -> tuple[dict, int] | None:
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """(path, bytes) -> one row a record, read by byte ranges."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
-    splits = manifest.filter("bytes > 0").select("path", "bytes", starts.alias("start")).repartition("path", "start")
+    splits = manifest.filter("bytes > 0").select("path", "bytes", starts.alias("start"))
+    tasks = max(1, splits.count())  # a stated number: splits are a few bytes each and would be coalesced into one task
+    splits = splits.repartition(tasks, "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
