@@ -38,6 +38,7 @@ BLOCK_BYTES, SLICE_BYTES, BUCKET_BYTES = 32 << 20, 2 << 20, 24 << 20
 NGRAM, WORD, TEXT = 0, 1, 2
 PACKED = "block long, kind int, bucket int, n long, a binary, b binary"
 ALPHA = 0.1
+UNKNOWN = 1 << 55
 
 
 # packing ------------------------------------------------------------------------------------------------
@@ -411,8 +412,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     """Learn from the texts where held_out is false; score every text (doc_id, text). held_out: a Column."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(6, min(1 << 20, estimate // BUCKET_BYTES))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN:  # what Spark says of rows that it has no statistics of
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(6, size // BUCKET_BYTES)
     packed = common.saved(rows.mapInArrow(count_blocks(buckets), PACKED), "blocks")
     asked = packed.filter(F.col("kind") != TEXT)
     dealt = asked.repartitionById(buckets, F.col("bucket"))
