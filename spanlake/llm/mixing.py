@@ -52,11 +52,11 @@ def fill_targets(sources: DataFrame, budget: float, max_repeat: float) -> DataFr
     whole = Window.partitionBy()
     total = F.sum("source_size").over(whole) * F.lit(float(budget))
     spent = F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = (total - spent) / F.sum("weight").over(onward)
+    level = F.try_divide(total - spent, F.sum("weight").over(onward))
     capped = cap.withColumn("_total", total).withColumn("_capped", (F.col("weight") > 0) & (F.col("cap") <= level * F.col("weight")))
     left = F.col("_total") - F.sum(F.when(F.col("_capped"), F.col("cap")).otherwise(0.0)).over(whole)
     rest = F.sum(F.when(F.col("_capped"), 0.0).otherwise(F.col("weight"))).over(whole)
-    target = F.when(F.col("weight") <= 0, 0.0).when(F.col("_capped"), F.col("cap")).otherwise(F.least(F.col("cap"), left / rest * F.col("weight")))
+    target = F.when(F.col("weight") <= 0, 0.0).when(F.col("_capped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.try_divide(left, rest) * F.col("weight")))
     return capped.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("cap", "_capped", "_total")
 
 
@@ -66,8 +66,8 @@ def invert(pieces: Column, share: Column) -> Column:
     start = F.struct(share * whole, F.lit(None).cast("double"))
 
     def step(acc: Column, p: Column) -> Column:
-        left, half = acc["col1"], (p["w1"] - p["w0"]) / (p["t1"] - p["t0"])
-        x = 2 * left / (p["w0"] + F.sqrt(F.greatest(F.lit(0.0), p["w0"] * p["w0"] + 2 * half * left)))
+        left, half = acc["col1"], F.try_divide(p["w1"] - p["w0"], p["t1"] - p["t0"])
+        x = F.try_divide(2 * left, p["w0"] + F.sqrt(F.greatest(F.lit(0.0), p["w0"] * p["w0"] + 2 * half * left)))
         here = acc["col2"].isNull() & (left < p["area"])
         return F.struct((left - p["area"]).alias("col1"), F.when(here, p["t0"] + F.coalesce(x, F.lit(0.0))).otherwise(acc["col2"]).alias("col2"))
 
@@ -93,7 +93,7 @@ def assign(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedu
     rest = F.col("target") - passes * F.col("source_size")
     copies = F.when(F.col("size") > 0, passes + F.when(F.col("_before") + F.col("size") / 2 < rest, 1).otherwise(0)).otherwise(0).cast("int")
     one = one.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    one = one.withColumn("position", F.when(F.col("copies") > 0, invert(F.col("pieces"), F.col("_before") / F.col("target"))))
+    one = one.withColumn("position", F.when(F.col("copies") > 0, invert(F.col("pieces"), F.try_divide(F.col("_before"), F.col("target")))))
     return one
 
 
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedule:
     """
     one = assign(docs, budget, max_repeat, schedule)
     each = one.filter("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    demand = (F.col("_pass") * F.col("source_size") + F.col("_before")) / F.col("target")
+    demand = F.try_divide(F.col("_pass") * F.col("source_size") + F.col("_before"), F.col("target"))
     each = common.saved(each.select("_h", "_pass", invert(F.col("pieces"), demand).alias("_at")), "positions")
     rows = docs.withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
     first = each.filter("_pass = 0")

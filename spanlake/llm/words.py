@@ -26,4 +26,9 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     offsets = split.offsets.to_numpy().astype(np.int64)
     tokens = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    return tokens.indices.to_numpy().astype(np.int64), offsets - offsets[0], tokens.dictionary.to_pylist()
+    codes, offsets, listed = tokens.indices.to_numpy().astype(np.int64), offsets - offsets[0], tokens.dictionary.to_pylist()
+    if "" in listed:  # white space at an end leaves an empty piece
+        real = codes != listed.index("")
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        codes = codes[real]
+    return codes, offsets, listed

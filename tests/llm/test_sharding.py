@@ -42,12 +42,12 @@ def test_group_heavier_than_a_shard_is_cut(spark):
     check(sharding.shard(docs, 8).collect(), 8, 400)
 
 
-@pytest.mark.parametrize("n", [1, 3, 16])
+@pytest.mark.parametrize("n", [1, 3])
 def test_odd_rows(documents, n):
-    rows = sharding.shard(documents, n).collect()
+    rows = sharding.shard(documents, n, keep=["text"]).collect()
     check(rows, n, 10**9)
     assert len(rows) == documents.count()
-    null = [r for r in sharding.shard(documents, n, keep=["text"]).collect() if r["text"] is None]
+    null = [r for r in rows if r["text"] is None]
     assert [(r["size"], r["text_crc32"]) for r in null] == [(1, 0)]
 
 
