@@ -17,7 +17,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text of subtitle files, a row a file; a leading byte order mark is dropped."""
     rows = spark.read.format("binaryFile").load(path)
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
-    return rows.select("path", F.regexp_replace(F.coalesce(text, F.decode("content", F.lit("ISO-8859-1"))), "\r\n?", "\n").alias("text"))
+    return rows.select("path", F.regexp_replace(F.coalesce(text, F.decode("content", "ISO-8859-1")), "\r\n?", "\n").alias("text"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
