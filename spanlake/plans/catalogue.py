@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, time
-from ..operators import align, attribute, fuse, segment, splice, streams, vocative, windows
+from ..operators import align, attribute, fuse, notes, segment, splice, streams, vocative, windows
+from ..sources import replies
 from ..sources import testdata as td
+from ..streaming import sessions
 from . import oracles
 
 QUERIES: dict = {}
@@ -442,3 +444,43 @@ def evidence_pack(spark, d):
     scenes = align.scenes_of(shots, 5)
     pack = scenes.join(align.cues_per_scene(cues, scenes), ["ep", "pos"], "left").join(coverage_union(spark, d), ["ep", "pos"], "left")
     return pack.withColumn("label", windows.window_label(F.col("r_start_ms"), F.col("r_end_ms"), td.WINDOWS)).select("ep", "pos", "r_start_ms", "r_end_ms", "shots", "cue_count", "covered_pct", "label")
+
+
+# notes, replies, sessions -----------------------------------------------------
+
+
+def observed(spark, d) -> DataFrame:
+    """Notes of one segment an event, in shapes that drift."""
+    rows = td.base(spark, d).filter(F.col("event_type") == "error")
+    k = F.pmod("event_id", F.lit(4))
+    entry = F.format_string('{"%s": "%s", "end": %s, "who": "P%d", "what": "w%d", "mouth_state": "%s", "mouth_motion": "speaking"}', F.when(k == 0, "start").when(k == 1, "start_time").when(k == 2, "from").otherwise("begin"), F.when(k == 0, "1.5").when(k == 1, "0:02").otherwise("3"), F.when(k == 2, F.lit("99")).otherwise("4.25"), F.pmod("event_id", F.lit(5)), F.pmod("event_id", F.lit(3)), F.when(F.pmod("event_id", F.lit(2)) == 0, "Moving").otherwise("odd"))
+    raw = F.concat(F.lit('{"visual": {"caption": "", "actions": ['), entry, F.lit("]}}"))
+    return rows.select("ep", F.col("event_id").alias("segment"), F.col("t").alias("start_ms"), (F.col("t") + 5000).alias("end_ms"), raw.alias("raw"))
+
+
+@query
+def note_entries(spark, d):
+    return notes.entries(observed(spark, d)).select("ep", "segment", "ok", "start", "end", "who", "what", "mouth_state")
+
+
+@query
+def note_drops(spark, d):
+    return notes.dropped(notes.entries(observed(spark, d)))
+
+
+@query
+def note_dedup(spark, d):
+    rows = notes.entries(observed(spark, d)).filter("ok").withColumn("scene", F.floor(F.col("start") / 60_000))
+    return notes.deduplicate(rows.select("ep", "scene", "segment", "pos", "start", "end", "who", "what"))
+
+
+@query
+def audio_encodings(spark, d):
+    rows = td.table(spark, d, "events").select("event_id", (F.col("event_id") % 5000).cast("double").alias("s"), (F.col("event_id") * 3000).alias("raw"))
+    return rows.select("event_id", replies.audio_encoding(F.col("s"), F.col("raw")).alias("encoding"))
+
+
+@query
+def silence_sessions(spark, d):
+    rows = td.table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("ts").cast("timestamp").alias("ts"))
+    return sessions.silence_sessions(rows).select("ep", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
