@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, graph
 
 # Common words of English, French, German and Spanish (fixed values).
 ANCHORS = """
@@ -36,6 +36,8 @@ el los y por con para del se las no su al lo más como
 CHAIN, HEAD, LEAST = 2, 32, 4
 #: bytes of documents that one range of the ordered table holds
 RANGE_BYTES = 24 << 20
+#: sets of one unit that one task compares
+TILE = 1000
 #: every byte but letters and what lies beyond ASCII becomes a space
 CLEAN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -144,5 +146,69 @@ def op10_fingerprints(docs: DataFrame, anchors: str = ANCHORS) -> DataFrame:
     return in_order(docs).mapInArrow(run, schema)
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tile: int = TILE, anchors: str = ANCHORS) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id that chains of pairs of likeness ``threshold`` or more reach.
+
+    Equal sets are compared once. Sets are partitioned by length, in steps of 1 / threshold, so that a set only meets its own
+    and the next partition; there, two sets that are alike share one of their rarest signatures (as many as the
+    threshold lets differ, and one). Sets that share one are a unit, in order of length: pairs are skipped by length
+    and where they are linked already. A unit of over ``tile`` sets is cut into pairs of tiles.
+    Documents with the empty set are linked by equal texts.
+    """
+    common_words = frozenset(w.encode() for w in anchors.split())
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(np.fromiter(s, np.int64, len(s))) for s in (signatures(t.as_py() or "", common_words) for t in batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("blank"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "blank", "signs"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("blank"), "text").mapInArrow(sign, "doc_id long, blank long, signs array<long>")
+    rows = common.saved(rows.withColumn("key", F.when(F.size("signs") > 0, F.xxhash64("signs")).otherwise(F.col("blank"))), "signs")
+    sets = common.saved(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("signs").alias("signs")), "sets")
+    each = sets.select("key", F.explode("signs").alias("sign"))
+    often = each.groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(often, "sign").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "sign"))).alias("ranked"))
+    size = F.size("signs")
+    step = F.floor(F.log(size.cast("double")) / float(np.log(1 / threshold)) + 1e-9).cast("int")
+    rare = F.slice("ranked", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+    dealt = sets.join(ranked, "key").select("key", "signs", size.alias("size"), F.explode(F.flatten(F.transform(rare, lambda x: F.array(F.struct(x["sign"], step.alias("step")), F.struct(x["sign"], (step + 1).alias("step")))))).alias("u"))
+    dealt = common.saved(dealt.select("key", "signs", "size", F.xxhash64("u").alias("unit")), "dealt")
+    hot = dealt.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    cut = dealt.join(hot, "unit", "left").withColumn("own", F.pmod("key", F.coalesce("tiles", F.lit(1))).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    cut = cut.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "size", "key", "signs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, met, root = None, [], {}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for batch in batches:
+            left, right = [], []
+            for u, n, key, signs in zip(*(batch.column(c).to_pylist() for c in ("unit", "size", "key", "signs")), strict=True):
+                if u != unit:
+                    unit, met, root = u, [], {}
+                if key in root:
+                    continue
+                root[key], own = key, frozenset(signs)
+                met = [x for x in met if x[0] >= threshold * n]  # shorter sets are out of reach for all that follow
+                for _, other, theirs in met:
+                    if top(other) != top(key) and likeness(own, theirs, threshold) >= threshold:
+                        left.append(key)
+                        right.append(other)
+                        root[top(key)] = top(other)
+                met.append((n, key, own))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    links = cut.repartition("unit").sortWithinPartitions("unit", "size", "key").mapInArrow(run, "a long, b long")
+    roots = graph.components(links).withColumnRenamed("node", "key")
+    of = sets.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    named = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(common.saved(named, "named"), "key").select("doc_id", "component_id")
+
+
 def op10_spot_signatures(spark, sf_dir: str) -> DataFrame:
     return op10_fingerprints(common.table(spark, sf_dir, "documents"))

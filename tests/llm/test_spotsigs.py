@@ -42,3 +42,30 @@ def test_signatures():
     assert spotsigs.signatures("", anchors) == spotsigs.signatures("123 !!", anchors) == frozenset()
     assert len(spotsigs.signatures("alpha beta gamma", anchors)) == 3
     assert spotsigs.likeness(signs, signs) == 1.0 and spotsigs.likeness(signs, frozenset([1]), least=0.5) == 0.0
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    words = frozenset(w.encode() for w in spotsigs.ANCHORS.split())
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    base = rows[1][1].split()
+    rows += [(1000 + i, " ".join(base[:i] + base[i + 1 :])) for i in range(0, 40, 2)] + [(2000, ""), (2001, None), (2002, "9")]
+    signs = {i: spotsigs.signatures(t or "", words) for i, t in rows}
+    text = dict(rows)
+    root = {i: i for i in signs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(signs)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = signs[i], signs[j]
+            if (len(a & b) >= 0.8 * len(a | b)) if a or b else (text[i] or "") == (text[j] or ""):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (1000, 3):
+        got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(docs, tile=tile).collect()}
+        assert got == {i: top(i) for i in ids}
