@@ -35,6 +35,8 @@ MODULUS, HELD_OUT = 3, 1
 SAMPLE = 12_000
 STEMS, LEAST_TEXTS, PURITY = 2000, 5, 0.97
 LONGEST = 12
+#: bytes of text whose words' features are held at once
+COUNTED_BYTES = 2 << 20
 REACH = 3
 THRESHOLD = 0.7
 # Seed words of the lexicon (fixed values).
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
         """Texts of either label that hold a feature; features of the slice's toxic texts alone can become stems."""
         for batch in batches:
             sums = (Counter(), Counter())
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", COUNTED_BYTES):
                 codes, offsets, vocabulary = words.coded(part.column("text"))
                 own = features(vocabulary)
                 for mark, a, b in zip(part.column("toxic").to_pylist(), offsets[:-1], offsets[1:], strict=True):
