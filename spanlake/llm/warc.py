@@ -83,6 +83,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
                 n, size = n + 1, size + len(record)
         if out is not None:
             out.close()
+            if store.get_file_info(done).type != fs.FileType.NotFound:  # of an earlier run of this task; some stores do not rename over it
+                store.delete_file(done)
             store.move(part, done)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{done.rsplit('/', 1)[1]}"], "bytes": [size], "records": [n]})
 
