@@ -117,4 +117,4 @@ def cluster_summary(bound: DataFrame, turns: DataFrame) -> DataFrame:
     speech = turns.groupBy("ep", "cluster_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.array_join(F.sort_array(F.collect_set(F.col("part").cast("string"))), ",").alias("parts"))
     rows = speech.join(lines, ["ep", "cluster_id"], "left")
     number = F.regexp_extract("cluster_id", r"(\d+)$", 1).cast("long")
-    return rows.select("ep", "cluster_id", F.coalesce("line_count", F.lit(0)).cast("long").alias("line_count"), "speech_ms", "parts", F.row_number().over(Window.partitionBy("ep").orderBy(number)).alias("ord"))
+    return rows.select("ep", "cluster_id", F.coalesce("line_count", F.lit(0)).cast("long").alias("line_count"), "speech_ms", "parts", F.row_number().over(Window.partitionBy("ep").orderBy(number)).cast("long").alias("ord"))

@@ -26,7 +26,7 @@ def split_by_windows(rows: DataFrame, windows: list[tuple[int, int, str]]) -> tu
     """(kept with a dense index per episode, removed with the window's label)."""
     marked = rows.withColumn("label", window_label(F.col("start_ms"), F.col("end_ms"), windows))
     order = Window.partitionBy("ep").orderBy("start_ms", "cue")
-    kept = marked.filter("label is null").drop("label").withColumn("index", F.row_number().over(order))
+    kept = marked.filter("label is null").drop("label").withColumn("index", F.row_number().over(order).cast("long"))
     return kept, marked.filter("label is not null")
 
 
@@ -89,7 +89,7 @@ def cuts_to_shots(cuts: DataFrame, ends: DataFrame) -> DataFrame:
     """ep, shot_id, start_ms, end_ms: from each cut to the next, the last to the episode's end if that is later."""
     order = Window.partitionBy("ep").orderBy("at")
     rows = cuts.unionByName(ends.select("ep", F.col("duration_ms").alias("at"))).distinct()
-    return rows.select("ep", F.row_number().over(order).alias("shot_id"), F.col("at").alias("start_ms"), F.lead("at").over(order).alias("end_ms")).filter("end_ms is not null")
+    return rows.select("ep", F.row_number().over(order).cast("long").alias("shot_id"), F.col("at").alias("start_ms"), F.lead("at").over(order).alias("end_ms")).filter("end_ms is not null")
 
 
 def even_sample(rows: DataFrame, limit: int) -> DataFrame:

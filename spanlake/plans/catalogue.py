@@ -483,4 +483,5 @@ def audio_encodings(spark, d):
 @query
 def silence_sessions(spark, d):
     rows = td.table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("ts").cast("timestamp").alias("ts"))
-    return sessions.silence_sessions(rows).select("ep", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+    epoch = F.unix_micros(F.expr("CAST(TIMESTAMP_NTZ '1970-01-01 00:00:00' AS TIMESTAMP)"))  # wall-clock time, whatever the session's zone
+    return sessions.silence_sessions(rows).select("ep", (F.unix_micros("start") - epoch).alias("start_us"), (F.unix_micros("end") - epoch).alias("end_us"), "events")

@@ -256,7 +256,7 @@ NOTED = """
 noted AS (SELECT ep, event_id AS segment, t, event_id % 4 AS k, CASE event_id % 4 WHEN 0 THEN 1500 WHEN 1 THEN 2000 WHEN 2 THEN 3000 END AS a, CASE WHEN event_id % 4 = 2 THEN NULL ELSE 4250 END AS b, event_id
   FROM base WHERE event_type = 'error')"""
 SQL["note_entries"] = w(BASE, NOTED) + """SELECT ep, segment, k < 2 AS ok, t + a AS start, t + b AS "end", 'P' || (event_id % 5) AS who, 'w' || (event_id % 3) AS what, CASE WHEN event_id % 2 = 0 THEN 'moving' ELSE 'unknown' END AS mouth_state FROM noted"""
-SQL["note_drops"] = w(BASE, NOTED) + "SELECT ep, segment, 'actions' AS channel, CASE WHEN k < 2 THEN 0 ELSE 1 END AS dropped FROM noted"
+SQL["note_drops"] = w(BASE, NOTED) + "SELECT ep, segment, 'actions' AS channel, CAST(CASE WHEN k < 2 THEN 0 ELSE 1 END AS BIGINT) AS dropped FROM noted"
 SQL["audio_encodings"] = """WITH e AS (SELECT event_id, event_id % 5000 AS s, event_id * 3000 AS raw FROM events)
 SELECT event_id, CASE WHEN raw <= 7275000 THEN 'passthrough' WHEN s * 32000 <= 7275000 THEN 'wav' WHEN s * 8000 <= 7275000 THEN 'mp3-64' WHEN s * 6000 <= 7275000 THEN 'mp3-48' WHEN s * 5000 <= 7275000 THEN 'mp3-40'
   WHEN s * 4000 <= 7275000 THEN 'mp3-32' WHEN s * 3000 <= 7275000 THEN 'mp3-24' WHEN s * 2000 <= 7275000 THEN 'mp3-16' END AS encoding FROM e"""
