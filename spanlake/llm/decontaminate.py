@@ -34,25 +34,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(common.lower_ascii(F.coalesce(text, F.lit(""))), DELIMITERS), lambda w: w != "")
 
 
-def grams(hashes: Column, n: int) -> Column:
-    """Hash of every n consecutive word hashes; the empty array if there are fewer."""
-    count = F.size(hashes) - n + 1
-    every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
-    return F.when(count > 0, every).otherwise(F.array().cast("array<bigint>"))
+def sliding(rows: DataFrame, keep: list[str], column: str, span: int, f) -> DataFrame:
+    """The array in ``column`` with f (least or greatest) taken over every window of ``span``, by doubling the width."""
+    shifted = lambda k: F.slice(column, k + 1, F.greatest(F.lit(0), F.size(column) - k))
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        rows = rows.select(*keep, F.zip_with(column, shifted(step), lambda x, y: f(x, y)).alias(column))
+        width += step
+    return rows.select(*keep, F.slice(column, 1, F.greatest(F.lit(0), F.size(column) - (span - 1))).alias(column))
 
 
 def fingerprints(rows: DataFrame, keep: list[str], window: int, gram: int) -> DataFrame:
     """(keep, words) -> (keep, pos, fp): the winnowed grams, pos the word at which one starts."""
     span = window - gram + 1
-    hashed = rows.filter(F.size("words") >= window).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.select(*keep, grams(F.col("h"), gram).alias("g"))
-    least = F.transform(F.sequence(F.lit(1), F.size("g") - (span - 1)), lambda i: F.array_min(F.slice("g", i, span)))
-    hashed = hashed.select(*keep, "g", least.alias("m"))
-    first = lambda i: F.greatest(i - (span - 1), F.lit(0))
-    last = lambda i: F.least(i, F.size("m") - 1)
-    own = lambda g, i: F.when(F.array_max(F.slice("m", first(i) + 1, last(i) - first(i) + 1)) == g, F.struct(i.alias("pos"), g.alias("fp")))
-    picks = F.filter(F.transform("g", own), lambda x: x.isNotNull())
-    return hashed.select(*keep, F.explode(picks).alias("x")).select(*keep, "x.pos", "x.fp")
+    every = F.transform(F.sequence(F.lit(1), F.size("words") - (gram - 1)), lambda i: F.xxhash64(F.slice("words", i, gram)))
+    # a filter on the number of words would be pushed below and split the text twice
+    hashed = rows.select(*keep, F.when(F.size("words") >= window, every).alias("g"))
+    least = sliding(hashed.select(*keep, "g", F.col("g").alias("m")), [*keep, "g"], "m", span, F.least)
+    # so padded, the windows that hold gram i are the span elements from i on: the greatest of their minima is the gram itself if it was chosen
+    pad = F.array_repeat(F.lit(-(1 << 63)), span - 1)
+    chosen = sliding(least.select(*keep, "g", F.concat(pad, "m", pad).alias("m")), [*keep, "g"], "m", span, F.greatest)
+    picks = F.zip_with("g", "m", lambda g, top: F.when(g == top, g))
+    return chosen.select(*keep, F.posexplode(picks).alias("pos", "fp")).filter("fp is not null")
 
 
 def short_anchors(rows: DataFrame, keep: list[str], below: int) -> DataFrame:
