@@ -8,7 +8,8 @@ an open quote to the end of its clause. Isolated words are not scored: what coun
 pattern. Clauses of a text are summed, the best match of each, and squashed to 0..1 with the prior.
 
 Stems and pattern weights are log odds learned from a bounded sample of at most about ``SAMPLE`` labelled rows a
-label, whole texts, that may be learned from. A stem is a word or word beginning met in toxic and hardly in other texts;
+label, whole texts, that may be learned from. A stem is a word or word beginning met in enough toxic texts (``LEAST_TEXTS``,
+``LEAST_SHARE``) and hardly in others (``PURITY``), so that words of a few copied texts are none;
 of nested ones the longest that still covers the shorter one's texts is kept.
 
 Defined cases: a null, empty or wordless text has no clause and scores as the prior without matches, as every text
@@ -33,7 +34,7 @@ from . import common, words
 
 MODULUS, HELD_OUT = 3, 1
 SAMPLE = 12_000
-STEMS, LEAST_TEXTS, PURITY = 2000, 5, 0.97
+STEMS, LEAST_TEXTS, LEAST_SHARE, PURITY = 2000, 5, 0.005, 0.99
 LONGEST = 12
 #: bytes of text whose words' features are held at once
 COUNTED_BYTES = 2 << 20
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
 
     sums = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     pure = (F.col("toxic") / toxic) / (F.col("toxic") / toxic + F.col("clean") / clean)
-    best = sums.filter((F.col("toxic") >= LEAST_TEXTS) & (pure >= PURITY)).orderBy(F.col("toxic").desc(), "feature").limit(STEMS).collect()
+    best = sums.filter((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (pure >= PURITY)).orderBy(F.col("toxic").desc(), "feature").limit(STEMS).collect()
     stems = seeds() | choose({r["feature"]: (r["toxic"], r["clean"]) for r in best}, toxic, clean)
     first = Grammar(stems, dict.fromkeys(PATTERNS, 0.0), bias)
 
