@@ -31,7 +31,7 @@ def test_real_table(spark, sf):
 
 
 def test_near_equal_with_copies(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, F.repeat(F.lit("c"), 30)).otherwise(F.repeat(F.col("id").cast("string"), 5)).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, F.repeat(F.lit("c"), 30)).otherwise(F.repeat(F.col("id").cast("string"), 5)).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
     rows = sharding.shard(docs, 16, keep=["text"]).collect()
     shards = check(rows, 16, 100)
     assert len({s for s, own in shards.items() for r in own if r["text"][0] == "c"}) == 1
