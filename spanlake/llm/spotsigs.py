@@ -3,13 +3,15 @@
 A text's words are its runs of letters, lower-cased. Every anchor (a common word) is followed by a chain: the next
 ``CHAIN`` words that are no anchors. Anchor and chain make one spot signature; the set of a text's
 signatures, as sorted hashes, is its fingerprint, so equal texts have equal fingerprints and the whole text counts.
-The start of a text is an anchor too. Where anchors are rare (fewer than ``LEAST`` in the first ``HEAD`` words, as in
-tables of names) every word is an anchor. Likeness is the Jaccard share of two sets; a pair whose set lengths alone
+The start of a text is an anchor too. Where anchors are rare (as in tables of names) words stand in for them: a word
+is a spot if none of the ``GAP`` words before it is an anchor. Every spot thus hangs on the few words around it, and
+an edit changes only signatures near it. Likeness is the Jaccard share of two sets; a pair whose set lengths alone
 rule the threshold out is not compared.
 
-Defined cases: a null text counts as empty; a text without letters has the empty fingerprint, and two empty
-fingerprints have likeness 1 exactly if their texts are equal; of rows that repeat a doc_id the one with the smaller
-text hash stands first; rows with a null doc_id stand before all; a single document is its own next.
+Defined cases: a null text counts as empty; an anchor that no other word follows stands alone; a text without letters
+has the empty fingerprint, and two empty fingerprints have likeness 1 exactly if their texts are equal; of rows that
+repeat a doc_id the one with the smaller text hash stands first; rows with a null doc_id stand before all; a single
+document is its own next.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ de la le les et un une du des en est que qui dans par pour au sur avec elle ne p
 der die das und zu den von mit ist im dem auf nicht ein eine als auch sich sie es
 el los y por con para del se las no su al lo más como
 """
-CHAIN, HEAD, LEAST = 2, 32, 4
+CHAIN, GAP = 2, 5
 #: bytes of documents that one range of the ordered table holds
 RANGE_BYTES = 24 << 20
 #: sets of one unit that one task compares
@@ -45,18 +47,17 @@ CLEAN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 def signatures(text: str, anchors: frozenset[bytes], chain: int = CHAIN) -> frozenset[int]:
     """The set of spot signatures, as 32-bit hashes."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(CLEAN).split()
-    if sum(w in anchors for w in words[:HEAD]) < LEAST:
-        content = words
-        spots = [(w, i + 1) for i, w in enumerate(words)]
-    else:
-        content, spots = [], []
-        for w in words:
-            if w in anchors:
+    content, spots, since = [], [(b"", 0)], GAP
+    for w in words:
+        if w in anchors:
+            spots.append((w, len(content)))
+            since = 0
+        else:
+            content.append(w)
+            if since >= GAP:
                 spots.append((w, len(content)))
-            else:
-                content.append(w)
-    spots.append((b"", 0))
-    return frozenset(crc32(b" ".join((w, *content[i : i + chain]))) for w, i in spots if i < len(content))
+            since += 1
+    return frozenset(crc32(b" ".join((w, *content[i : i + chain]))) for w, i in spots if i < len(content) or w in anchors)
 
 
 def fingerprint(signs: frozenset[int]) -> str:

@@ -69,3 +69,38 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     for tile in (1000, 3):
         got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(docs, tile=tile).collect()}
         assert got == {i: top(i) for i in ids}
+
+
+def test_an_edit_changes_only_signatures_near_it(spark):
+    anchors = frozenset(w.encode() for w in spotsigs.ANCHORS.split())
+    names = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeioursty"]
+    head = [*names[:8], *("the " + " the ".join(names[8:11])).split(), *names[11:29], "of", *names[29:31]]
+    words = head + [w for i, n in enumerate(names[31:] * 3) for w in (["and", n + "x" * (i // 40)] if i % 3 else [n + "y" * (i // 40)])]
+    signs = spotsigs.signatures(" ".join(words), anchors)
+    for start in range(1, 33):
+        assert spotsigs.likeness(signs, spotsigs.signatures(" ".join(words[start:]), anchors)) > 0.8
+    for text in (words, names * 3, "the of and to in is that it".split()):
+        whole = spotsigs.signatures(" ".join(text), anchors)
+        assert whole
+        for i in range(0, len(text), 5):
+            for put in (["zzz"], ["the"], []):
+                near = spotsigs.signatures(" ".join(text[:i] + put + text[i + 1 :]), anchors)
+                assert len(whole ^ near) <= 2 * (spotsigs.GAP + spotsigs.CHAIN * 4)
+    docs = spark.createDataFrame([(i, " ".join(words[i:])) for i in (0, 4, 8)], "doc_id long, text string")
+    assert {r["component_id"] for r in spotsigs.near_duplicates(docs).collect()} == {0}
+
+
+def test_removed_leading_words_keep_the_likeness(spark):
+    anchors = frozenset(w.encode() for w in spotsigs.ANCHORS.split())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    pieces = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    seen = 0
+    for text in (r["text"] or "" for r in docs):
+        words = text.split()
+        if len(words) < 200:
+            continue
+        a, b = pieces(words), pieces(words[8:])
+        if len(a & b) >= 0.8 * len(a | b):
+            seen += 1
+            assert spotsigs.likeness(spotsigs.signatures(text, anchors), spotsigs.signatures(" ".join(words[8:]), anchors)) >= 0.75
+    assert seen > 100
