@@ -13,7 +13,7 @@ fingerprints; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -46,15 +46,15 @@ def text_bits(text: str | None, shingle: int) -> bytes:
     return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows' doc_id and fingerprint as a signed long, the other columns dropped."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows' doc_id and fingerprint as a signed long, then the long columns of ``keep``; the others are dropped."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = b"".join(text_bits(t.as_py(), shingle) for t in batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.frombuffer(bits, ">u8").astype(np.uint64).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.frombuffer(bits, ">u8").astype(np.uint64).view(np.int64))} | {c: batch.column(c) for c in keep})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(make, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def linked(fp: np.ndarray, radius: int) -> np.ndarray:
@@ -166,19 +166,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component stays: that of the smallest doc_id. Columns as given.
+    """One row of each component stays: that of the smallest doc_id, then of the smallest text hash. Columns as given.
 
-    A row without doc_id goes by a negative number made from its text. Of rows that repeat a doc_id one stays.
+    A row without doc_id goes by a negative number made from its text. Rows are told apart by doc_id and text hash, so
+    that a doc_id that repeats with different texts loses only the rows of components that keep another one; of rows
+    equal in both one stays.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
-    keyed = docs.withColumn("_key", key)
-    found = common.saved(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, radius), "components")
-    gone = common.saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone
-    kept = keyed.join(side, "_key", "left_anti")
-    heads = found.filter("doc_id = component_id")
-    if heads.count() != heads.select("component_id").distinct().count():
-        kept = kept.dropDuplicates(["_key"])
+    hashed = F.xxhash64("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), hashed.bitwiseOR(F.lit(-(1 << 63))))
+    keyed = docs.withColumn("_key", key).withColumn("_hash", hashed)
+    rows = common.saved(fingerprints(keyed.select(F.col("_key").alias("doc_id"), "text", "_hash"), shingle, ["_hash"]), "fp")
+    distinct = common.saved(rows.select("fp").distinct(), "distinct")
+    roots = graph.components(link(distinct, radius)).withColumnRenamed("node", "fp")
+    each = rows.join(roots, "fp", "left").select(F.struct(F.col("doc_id").alias("_key"), "_hash").alias("row"), F.coalesce("root", "fp").alias("root"))
+    each = common.saved(each.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n")), "rows")
+    least = each.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    gone = common.saved(each.join(least, "root").filter("row <> least").select("row.*"), "gone")
+    side = F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone  # 16 bytes a row
+    kept = keyed.join(side, ["_key", "_hash"], "left_anti")
+    if not each.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "_hash"])
     return kept.select(*docs.columns)
 
 

@@ -101,6 +101,16 @@ def test_rows_without_id_are_deduplicated(spark):
     assert sorted((r["text"]) for r in left) == ["a b c d", "quite another text here"]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c, d = "one two three four", "quite another text here", "sun moon and stars", "rain falls on the river"
+    rows = [(3, b), (5, a), (5, b), (5, c), (5, c), (5, c.upper()), (6, c), (None, d), (7, d), (8, None), (8, "")]
+    fps = {x: bits(x) for _, x in rows}
+    assert all((fps[x] ^ fps[y]).bit_count() > 2 for x in (a, b, c, d, "") for y in (a, b, c, d, "") if x != y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(left, key=str) == sorted([(3, b), (5, a), (5, c), (None, d), (8, "")], key=str)
+
+
 def test_registered_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = classes([(r["doc_id"], bits(r["text"])) for r in docs])
