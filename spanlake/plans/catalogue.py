@@ -337,7 +337,7 @@ def speaker_prefix(spark, d):
 def text_agreement(spark, d):
     rows = td.lines(spark, d)
     pairs = rows.withColumn("other", F.lead("text").over(Window.partitionBy("ep").orderBy("index"))).filter("other is not null")
-    return pairs.select("ep", "index", text.text_agreement(F.substring("text", 1, 120), F.substring("other", 1, 120)).alias("agree"))
+    return pairs.select("ep", "index", text.text_agreement(F.col("text"), F.col("other")).alias("agree"))
 
 
 LABELS = ["旁白", "王子的声音", "威严之声", "路人（男）", "SPEAKER_A1", "凉音", "老年男人", "茉里", "茉里与妈妈", "菈菈、店员", "", "茉里南", "神秘老者", "家人们"]

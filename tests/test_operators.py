@@ -262,3 +262,11 @@ def test_walls_rise_strictly(spark):
     seq = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 2, 2)], "ep long, seq long, start_sub long, end_sub long")
     got = segment.snap_walls(segment.walls(seq, c), segment.boundaries(s)).first()
     assert (got["boundary"], got["within"]) == (0, False) and got["distance_ms"] > 15_000
+
+
+def test_agreement_takes_whole_texts(spark, tmp_path):
+    from spanlake.plans import catalogue
+
+    same, x, y = "the same start " * 8, "abcdefg " * 60, "1234567 " * 60
+    spark.createDataFrame([(1, 0, "user", same + x), (1, 1, "system", same + y)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in catalogue.QUERIES["text_agreement"](spark, str(tmp_path)).collect()] == [(1, 0, False)]
