@@ -33,3 +33,41 @@ def test_pairs_from_rows(spark):
     assert got[1]["chosen_completion"] == "<||>\n<|end|>\n"
     assert got[2]["rejected_completion"] == "<|user|>\ny<|end|>\n<|user|>\nz<|end|>\n"
     assert chat.format_preferences(chat.pair_conversations(table.limit(0))).count() == 0
+
+
+def test_large_ids_pair_exactly(spark):
+    big = 1 << 60
+    ids = [big + 2, big + 3, big + 4, big + 5, -3, -4, (1 << 63) - 1, (1 << 63) - 2, -(1 << 63), None]
+    table = spark.createDataFrame([(i, 0, "user", str(i)) for i in ids], "conv_id long, turn long, role string, text string")
+    got = {r["pair_id"]: r for r in chat.pair_conversations(table).collect()}
+    assert got.keys() == {i // 2 for i in ids if i is not None}
+    for i, r in got.items():
+        for odd, side in ((0, "chosen"), (1, "rejected")):
+            assert [t["text"] for t in r[side] or []] == ([str(2 * i + odd)] if 2 * i + odd in ids else [])
+
+
+def test_masks_of_long_conversations(spark):
+    n = 3 * chat.BLOCK + 7
+    rows = [(side, i, ["user", "assistant", "tool"][i % 3], "é" * (i * 7 % 31) if (i, side) != (40, 1) else "x") for side in (0, 1) for i in range(n)]
+    r = chat.format_preferences(chat.pair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert r["prompt_turns"] == 40
+    for side, name in enumerate(("chosen", "rejected")):
+        at, want = 0, []
+        for _, i, role, text in [x for x in rows if x[0] == side and x[1] >= 40]:
+            a, b = at + len(role) + 5, at + len(role) + 5 + len(text) + 8
+            want += [(at, a, False), (a, b, role == "assistant")]
+            at = b
+        assert [tuple(s) for s in r[f"{name}_mask"]] == want and at == len(r[f"{name}_completion"])
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t, r, x) for i in ((1 << 55) + 2, (1 << 55) + 3, -7, 4, None) for t, r, x in ((0, "user", "hé"), (1, "assistant", None), (1, "assistant", None), (None, None, "z"), (2, "assistant", str(i)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = chat.op3_preference_format(spark, str(tmp_path))
+    want = con.execute(chat.OP3_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, want.fetchall()))
