@@ -1,8 +1,9 @@
 """Connected components over an edge table, without collecting edges, components or neighbour lists.
 
 Large-star and small-star rounds: every node links its larger neighbours, then its smaller ones, to the least
-node it knows, until nothing changes; the edges then are stars. Minima are aggregated before shuffling and joined
-back, so a node with very many neighbours is never gathered into one task.
+node it knows, until nothing changes; the edges then are stars, after a number of rounds that grows with the square of the
+logarithm of the nodes at most. Minima are aggregated before shuffling; those of nodes with very many neighbours
+are broadcast back, so that the edges of no node meet in one task.
 """
 
 from __future__ import annotations
@@ -13,28 +14,24 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node, root): the least node of each component, for every node that has an edge."""
     now = common.saved(_tidy(edges.select("a", "b")), "edges")
-    mark = _mark(now)
-    for _ in range(rounds):
+    mark, then = _mark(now), None
+    while mark != then:
+        then = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = _tidy(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = common.saved(large, "large")
-        down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(down, F.col("a") == F.col("u"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = common.hot_join(both.filter("b > a"), least, ["a"], "n", 2 * then[0])
+        large = common.saved(_tidy(large.select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = common.hot_join(large, down, ["a"], "n", then[0])
         stars = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        then = common.saved(_tidy(stars), "stars")
-        seen = _mark(then)
+        following = common.saved(_tidy(stars), "stars")
+        mark = _mark(following)
         common.drop_saved(now)
         common.drop_saved(large)
-        now = then
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        now = following
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -6,9 +6,14 @@ more than ``max_repeat`` times its own size, and what it cannot give is reshared
 stand in a fixed pseudo-random order; the cumulative token demand of the source, inverted, tells at which time
 each of them is read, and the mix is range-sorted by that time.
 
+Sources are configured things, thousands at most, and one row each: their targets are worked out in one small
+task. Documents are numbered in buckets, whatever source holds how many.
+
 Defined cases: a null text has size 0 and is never emitted; a null source is a source of its own, last in code
-point order; repeated rows are separate documents; an empty table gives an empty mix; a source whose schedule is
-missing has weight 0 and target 0. Input columns named like the added ones are replaced by them.
+point order; rows that repeat are counted as one with a number of copies, and each is placed and returned; documents are told
+apart by a 128-bit hash; sources of equal cap and weight are filled in their order; very long texts are only counted; an
+empty table gives an empty mix; a source whose schedule is missing has weight 0 and target 0. Input columns named like
+the added ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -21,11 +26,17 @@ from . import common
 ADDED = ["size", "source_size", "target", "copies", "taken", "position"]
 
 
-def cycling_schedule(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
-    """A constant schedule: weights repeat over the sources in code point order, null last. One row a source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
-    return sources.select("source", F.array(F.struct(F.lit(0.0).alias("t"), weight.alias("w")), F.struct(F.lit(1.0).alias("t"), weight.alias("w"))).alias("knots"))
+def cycling_schedule(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), tilts: tuple[float, ...] = (0.5, 0.0, -0.5)) -> DataFrame:
+    """Weights repeat over the sources in code point order, null last. One row a source.
+
+    A source's weight changes with time by its tilt: from w (1 + tilt) at the start over w to w (1 - tilt) at the end, so that its
+    integral is w. With the default tilts a curriculum begins with the first source of each three and ends with the last.
+    """
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    pick = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), (rank % len(values) + 1).cast("int"))
+    ranked = sources.select("source", pick(weights).alias("w"), pick(tilts).alias("tilt"))
+    knot = lambda t, share: F.struct(F.lit(t).alias("t"), (F.col("w") * share).alias("w"))
+    return ranked.select("source", F.array(knot(0.0, 1 + F.col("tilt")), knot(0.5, F.lit(1.0)), knot(1.0, 1 - F.col("tilt"))).alias("knots"))
 
 
 def integrate(schedule: DataFrame) -> DataFrame:
@@ -74,47 +85,60 @@ def invert(pieces: Column, share: Column) -> Column:
     return F.coalesce(F.aggregate(pieces, F.struct(start["col1"].alias("col1"), start["col2"].alias("col2")), step)["col2"], F.lit(1.0))
 
 
-def assign(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedule: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
+def keys(docs: DataFrame, columns: list[str]) -> list[Column]:
+    """Two hashes of a row, 128 bits together: of what tells documents apart, which sets their order, and of ``columns``."""
+    kinds = dict(docs.dtypes)
+    parts = [F.col(c) if kinds[c] in ("string", "bigint", "int", "double", "boolean") else F.col(c).cast("string") for c in columns]
+    return [F.xxhash64("doc_id", "source", "text").alias("_h"), F.xxhash64(F.lit(1), *parts).alias("_g")]
+
+
+def assign(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedule: DataFrame | None = None, by: tuple[str, ...] = ("doc_id", "source", "text")) -> DataFrame:
     """One row a document: size, source_size, target, copies, taken and the position (time) of its first copy, null if unused.
 
     A source's order is cut after ``target`` tokens: whole passes over the source, then the documents whose middle
-    lies before the rest. So a source misses its target by half a document at most.
+    lies before the rest. So a source misses its target by half a document at most. Rows are told apart by the columns ``by``.
     """
-    rows = docs.select("doc_id", "source", *keep, common.word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")).alias("_h"))
-    rows = common.saved(rows, "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    rows = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), *keys(docs, list(by)))
+    own = ["doc_id", "source", "size", "_h", "_g"]
+    rows = common.saved(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).withColumn("_whole", F.col("_n") * F.col("size")), "mix")
+    sizes = rows.groupBy("source").agg(F.sum("_whole").cast("long").alias("source_size"))
     schedule = cycling_schedule(sizes.select("source")) if schedule is None else schedule
     weights = integrate(schedule)
     sizes = sizes.join(weights, sizes["source"].eqNullSafe(weights["source"]), "left").select(sizes["*"], F.coalesce(weights["weight"], F.lit(0.0)).alias("weight"), weights["pieces"])
     targets = common.saved(fill_targets(sizes, budget, max_repeat), "targets")
-    placed = common.running(rows, ["source"], ["_h", "doc_id", "size"], "_h", {"_before": "size"})
-    one = placed.join(targets, placed["source"].eqNullSafe(targets["source"]), "left").select(placed["*"], targets["source_size"], targets["target"], targets["pieces"])
+    placed = common.running(rows, ["source"], ["_h", "_g", "doc_id", "size"], "_h", {"_before": "_whole"})
+    most = rows.agg(F.max("_n")).first()[0] or 1
+    placed = common.repeated(placed, "_n", most, "_j").withColumn("_before", F.col("_before") + F.col("_j") * F.col("size"))
+    one = placed.join(targets, placed["source"].eqNullSafe(targets["source"]), "left").select(*[placed[c] for c in (*own, "_j", "_before")], targets["source_size"], targets["target"], targets["pieces"])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - passes * F.col("source_size")
     copies = F.when(F.col("size") > 0, passes + F.when(F.col("_before") + F.col("size") / 2 < rest, 1).otherwise(0)).otherwise(0).cast("int")
     one = one.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    one = one.withColumn("position", F.when(F.col("copies") > 0, invert(F.col("pieces"), F.try_divide(F.col("_before"), F.col("target")))))
-    return one
+    return one.withColumn("position", F.when(F.col("copies") > 0, invert(F.col("pieces"), F.try_divide(F.col("_before"), F.col("target")))))
 
 
 def mix(docs: DataFrame, budget: float = 1.5, max_repeat: float = 2.0, schedule: DataFrame | None = None) -> DataFrame:
     """The mixed corpus: every copy of a document as a row of the input's columns, range-sorted by training position.
 
-    Positions are worked out on rows without text; texts then are fetched by row hash, once.
+    Positions are worked out on rows without text; texts then are fetched by a hash of all columns, once. Rows that are equal in
+    all columns have one hash, and a position each.
     """
-    one = assign(docs, budget, max_repeat, schedule)
+    one = assign(docs, budget, max_repeat, schedule, by=tuple(docs.columns))
     each = one.filter("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     demand = F.try_divide(F.col("_pass") * F.col("source_size") + F.col("_before"), F.col("target"))
-    each = common.saved(each.select("_h", "_pass", invert(F.col("pieces"), demand).alias("_at")), "positions")
-    rows = docs.withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
-    first = each.filter("_pass = 0")
-    if first.count() != first.select("_h").distinct().count():  # rows that repeat each have positions of their own
-        rows = rows.dropDuplicates(["_h"])
-    placed = rows.join(each, "_h")
-    return placed.repartitionByRange("_at", "_h").sortWithinPartitions("_at", "_h", "_pass").select(*docs.columns)
+    each = common.saved(each.select("_h", "_g", "_j", "_pass", invert(F.col("pieces"), demand).alias("_at")), "positions")
+    rows = docs.select("*", *keys(docs, docs.columns))
+    if not each.filter("_j > 0").isEmpty():
+        rows = rows.dropDuplicates(["_h", "_g"])
+    placed = rows.join(each, ["_h", "_g"])
+    return placed.repartitionByRange("_at", "_h").sortWithinPartitions("_at", "_h", "_j", "_pass").select(*docs.columns)
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """documents mixed to 150 % of their words, weights 3, 1, 2 repeating, at most two copies of each."""
+    """documents mixed to 150 % of their words along a curriculum, weights 3, 1, 2 repeating, at most two copies of each.
+
+    Rows are range-sorted by the position of their first copy; those that the mix leaves out come first.
+    """
     mixed = assign(common.table(spark, sf_dir, "documents"))
+    mixed = mixed.repartitionByRange("position", "_h").sortWithinPartitions("position", "_h")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")

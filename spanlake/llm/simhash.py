@@ -170,10 +170,10 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
 
     A row without doc_id goes by a negative number made from its text. Rows are told apart by doc_id and text hash, so
     that a doc_id that repeats with different texts loses only the rows of components that keep another one; of rows
-    equal in both one stays.
+    equal in both one stays, the first by its other columns.
     """
     hashed = F.xxhash64("text")
-    key = F.coalesce(F.col("doc_id").cast("long"), hashed.bitwiseOR(F.lit(-(1 << 63))))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), F.col("text")).bitwiseOR(F.lit(-(1 << 63))))
     keyed = docs.withColumn("_key", key).withColumn("_hash", hashed)
     rows = common.saved(fingerprints(keyed.select(F.col("_key").alias("doc_id"), "text", "_hash"), shingle, ["_hash"]), "fp")
     distinct = common.saved(rows.select("fp").distinct(), "distinct")
@@ -185,7 +185,8 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     side = F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone  # 16 bytes a row
     kept = keyed.join(side, ["_key", "_hash"], "left_anti")
     if not each.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key", "_hash"])
+        whole = F.struct(*docs.columns)
+        kept = kept.groupBy("_key", "_hash").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
     return kept.select(*docs.columns)
 
 

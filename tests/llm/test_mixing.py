@@ -66,6 +66,36 @@ def test_mix_emits_copies_in_order(documents):
     assert not any(r["text"] is None for r in mixed.collect()) and copies
 
 
+def test_repeated_rows_and_other_columns_all_come(spark):
+    """Rows equal in id, source and text but not in another column are separate; rows equal in all come as often as they stand."""
+    rows = [(None, "a b c", "s", i % 3) for i in range(40)] + [(7, "x y", "s", 0)] * 25 + [(8, "z", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    for chunk in (10_000, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing.common, "repeated", lambda *a, f=mixing.common.repeated: f(*a, chunk=chunk))
+            got = mixing.assign(docs, budget=2.0).collect()
+            mixed = mixing.mix(docs, budget=2.0).collect()
+        assert len(got) == len(rows) and sum(r["taken"] for r in got) == 2 * (40 * 3 + 25 * 2 + 1)
+        assert sorted(map(str, map(tuple, mixed))) == sorted(map(str, rows * 2))
+
+
+def test_query_is_a_curriculum_sorted_by_position(spark, sf):
+    rows = mixing.op7_mix_sources(spark, sf).collect()
+    at = [r["position"] for r in rows if r["position"] is not None]
+    assert at == sorted(at) and at and all(0 <= x <= 1 for x in at)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
+    one = mixing.assign(spark.read.parquet(f"{sf}/documents.parquet")).filter("copies > 0").groupBy("source").agg((F.sum(F.col("position") * F.col("size")) / F.sum("size")).alias("p")).collect()
+    mean = {r["source"]: r["p"] for r in one}
+    early, late = [mean[r["source"]] for i, r in enumerate(docs) if i % 3 == 0], [mean[r["source"]] for i, r in enumerate(docs) if i % 3 == 2]
+    assert max(early) < min(late)
+
+
+def test_weights_are_the_schedules_integrals(spark):
+    sources = spark.createDataFrame([(x,) for x in "abcd"] + [(None,)], "source string")
+    got = {r["source"]: (r["weight"], len(r["pieces"])) for r in mixing.integrate(mixing.cycling_schedule(sources)).collect()}
+    assert got == {"a": (3.0, 2), "b": (1.0, 2), "c": (2.0, 2), "d": (3.0, 2), None: (1.0, 2)}
+
+
 def test_schedule_moves_a_source(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 2 == 0, "early").otherwise("late").alias("source"))
     knots = spark.createDataFrame([("early", [(0.0, 2.0), (1.0, 0.0)]), ("late", [(0.0, 0.0), (1.0, 2.0)])], "source string, knots array<struct<t:double,w:double>>")

@@ -118,3 +118,24 @@ def test_registered_query(spark, sf):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
     assert {r["doc_id"]: r["fingerprint"] for r in got.collect()} == {r["doc_id"]: f"{bits(r['text']):016x}" for r in docs}
     assert got.select(F.max(F.length("fingerprint"))).first()[0] == 16
+
+
+def test_hubs_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(simhash.common, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash.common, "BROADCAST_ROWS", 1000)
+    pick = random.Random(3)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(i, 300) for i in range(200, 240)] + [(pick.randrange(400, 450), pick.randrange(400, 450)) for _ in range(40)]
+    nodes = {x for e in edges for x in e if e[0] != e[1]}
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {x: top(x) for x in nodes}
