@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def window_label(start: Column, end: Column, windows: list[tuple[int, int, str]]
     return F.when(top["ratio"] > least, top["label"])
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, least: float = 0.5) -> DataFrame:
+    """rows (ep, start_ms, end_ms, ...) with ``label``: that of the episode's own window (ep, start_ms, end_ms, label) that holds
+    most of a row and more than half of it, the earliest on ties; else null."""
+    own = windows.select("ep", F.struct(F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), "label").alias("w"))
+    listed = own.groupBy("ep").agg(F.sort_array(F.collect_list("w")).alias("windows"))  # an episode's few configured windows
+    end = F.when(F.col("end_ms") <= F.col("start_ms"), F.col("start_ms") + 1).otherwise(F.col("end_ms"))
+    scored = F.transform("windows", lambda x, i: F.struct(overlap_ratio(F.col("start_ms"), end, x["a"], x["b"]).alias("ratio"), (-i).alias("ord"), x["label"].alias("label")))
+    found = rows.join(listed, "ep", "left").withColumn("top", F.array_max(scored))
+    return found.withColumn("label", F.when(F.col("top.ratio") > least, F.col("top.label"))).drop("top", "windows")
+
+
 def split_by_windows(rows: DataFrame, windows: list[tuple[int, int, str]]) -> tuple[DataFrame, DataFrame]:
     """(kept with a dense index per episode, removed with the window's label)."""
     marked = rows.withColumn("label", window_label(F.col("start_ms"), F.col("end_ms"), windows))
@@ -78,11 +91,19 @@ def snap_to_silence(boundaries: Column, silences: Column, tolerance: float = 5.0
 def thin_cuts(points: DataFrame, gap: int) -> DataFrame:
     """ep and the points ``at`` kept so that each is at least ``gap`` after the last one kept.
 
-    Which are kept depends on those kept before: a fold over an episode's sorted points, not a window.
+    Which are kept depends on those kept before, so an episode's points are one group; from each kept point the next
+    is found by bisection.
     """
-    folded = points.groupBy("ep").agg(F.sort_array(F.collect_list("at")).alias("all"))
-    folded = folded.select("ep", F.aggregate("all", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= gap), F.concat(a, F.array(x))).otherwise(a)).alias("kept"))
-    return folded.select("ep", F.explode("kept").alias("at"))
+
+    def keep(own: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(own["at"].to_numpy())
+        kept, i = [], 0
+        while i < len(at):
+            kept.append(at[i])
+            i = max(i + 1, int(np.searchsorted(at, at[i] + gap)))
+        return pd.DataFrame({"ep": own["ep"].iloc[0], "at": kept})
+
+    return points.select("ep", F.col("at").cast("long").alias("at")).groupBy("ep").applyInPandas(keep, "ep long, at long")
 
 
 def cuts_to_shots(cuts: DataFrame, ends: DataFrame) -> DataFrame:

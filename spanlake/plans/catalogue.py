@@ -10,7 +10,7 @@ from ..operators import align, attribute, fuse, notes, segment, splice, streams,
 from ..sources import replies
 from ..sources import testdata as td
 from ..streaming import sessions
-from . import oracles
+from . import oracles, registry
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -329,7 +329,7 @@ def norm_text(spark, d):
 
 @query
 def speaker_prefix(spark, d):
-    rows = td.lines(spark, d).withColumn("line", F.when(F.col("index") % 3 == 0, F.concat(F.lit("【"), F.col("speaker"), F.lit("】"), F.substring("text", 1, 30))).when(F.col("index") % 3 == 1, F.concat(F.col("speaker"), F.lit("："), F.substring("text", 1, 30))).otherwise(F.concat(F.lit("(music)"), F.substring("text", 1, 30))))
+    rows = td.lines(spark, d).withColumn("line", F.when(F.col("index") % 3 == 0, F.concat(F.lit("【"), F.col("speaker"), F.lit("】"), F.col("text"))).when(F.col("index") % 3 == 1, F.concat(F.col("speaker"), F.lit("："), F.col("text"))).otherwise(F.concat(F.lit("(music)"), F.col("text"))))
     return rows.select("ep", "index", text.speaker_prefix(F.col("line")).alias("x")).select("ep", "index", "x.speaker", F.md5("x.text").alias("digest"))
 
 
@@ -485,3 +485,9 @@ def silence_sessions(spark, d):
     rows = td.table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("ts").cast("timestamp").alias("ts"))
     epoch = F.unix_micros(F.expr("CAST(TIMESTAMP_NTZ '1970-01-01 00:00:00' AS TIMESTAMP)"))  # wall-clock time, whatever the session's zone
     return sessions.silence_sessions(rows).select("ep", (F.unix_micros("start") - epoch).alias("start_us"), (F.unix_micros("end") - epoch).alias("end_us"), "events")
+
+
+from . import files  # noqa: E402  registers its queries beside these
+
+QUERIES |= registry.QUERIES
+ORACLES |= registry.ORACLES

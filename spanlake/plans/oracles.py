@@ -224,9 +224,12 @@ SELECT ep, cue, format('{:02d}:{:02d}:{:02d}.{:03d}', m // 3600000, m // 60000 %
     "strip_tags": "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest FROM pages",
     "norm_text": r"SELECT conv_id, turn, md5(lower(regexp_replace(coalesce(text, ''), '[\s\x{3000}\x{00a0}，。：:；;！!？?、,.\[\]【】()（）「」『』…—·\-–]', '', 'g'))) AS digest FROM conversations",
     "speaker_prefix": w(LINES)
-    + """SELECT ep, index, CASE WHEN index % 3 < 2 AND NOT contains(trim(substr(text, 1, 30), chr(10) || ' '), chr(10)) THEN speaker END AS speaker,
-  md5(CASE WHEN contains(trim(substr(text, 1, 30), chr(10) || ' '), chr(10)) THEN regexp_replace(CASE index % 3 WHEN 0 THEN '【' || speaker || '】' WHEN 1 THEN speaker || '：' ELSE '(music)' END || substr(text, 1, 30), '^\\s+|\\s+$', '', 'g')
-  WHEN index % 3 = 2 THEN regexp_replace('(music)' || substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') END) AS digest FROM lines""",
+    + r"""SELECT ep, index, CASE WHEN head = 0 THEN NULL WHEN head = 1 THEN regexp_extract(line, '^[【\\[（(]([^】\\]）)]+)[】\\]）)]', 1) ELSE regexp_extract(line, '^([^：:\\s\\d()\\[\\]【】]{1,16})\\s*[：:]', 1) END AS speaker,
+  md5(CASE head WHEN 0 THEN line WHEN 1 THEN trim(regexp_replace(line, '^[【\\[（(][^】\\]）)]+[】\\]）)]', ''), SP) ELSE trim(regexp_replace(line, '^[^：:\\s\\d()\\[\\]【】]{1,16}\\s*[：:]', ''), SP) END) AS digest
+FROM (SELECT *, CASE WHEN regexp_matches(line, '^[【\\[（(][^】\\]）)]+[】\\]）)]\\s*[^\\n]*$') AND lower(trim(regexp_extract(line, '^[【\\[（(]([^】\\]）)]+)', 1))) NOT IN ('music', 'sigh', 'laughter') AND length(trim(regexp_extract(line, '^[【\\[（(]([^】\\]）)]+)', 1))) <= 20
+    AND trim(regexp_replace(line, '^[【\\[（(][^】\\]）)]+[】\\]）)]', '')) <> '' THEN 1
+  WHEN regexp_matches(line, '^[^：:\\s\\d()\\[\\]【】]{1,16}\\s*[：:]\\s*[^\\n]+$') AND NOT regexp_matches(regexp_extract(line, '^([^：:\\s\\d()\\[\\]【】]{1,16})\\s*[：:]', 1), '(?i)^(http|https|ftp)$') THEN 2 ELSE 0 END AS head
+  FROM (SELECT ep, index, trim(CASE index % 3 WHEN 0 THEN '【' || speaker || '】' WHEN 1 THEN speaker || '：' ELSE '(music)' END || text, SP) AS line FROM lines))""".replace("SP", "' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)").replace("\\\\", "\\"),
     "label_taxonomy": w(LABELLED)
     + """SELECT label, CASE WHEN label = '' THEN 'descriptive' WHEN label LIKE 'SPEAKER_%' THEN 'provisional' WHEN label IN ('旁白', '家人们', '路人（男）') THEN 'generic'
   WHEN label IN ('王子的声音', '威严之声', '老年男人', '神秘老者', '菈菈、店员') THEN 'descriptive' ELSE 'name' END AS kind, count(*) AS n FROM listed GROUP BY ALL""",

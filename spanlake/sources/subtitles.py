@@ -1,4 +1,4 @@
-"""SRT, WebVTT and ASS files as cue tables; silence logs; scene-cut logs; JSON artifacts."""
+"""SRT, WebVTT and ASS files as cue tables; silence logs; scene-cut logs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import speaker_prefix, strip_ass, strip_space, strip_tags
 from ..functions.time import parse_timecode
+from ..operators.windows import thin_cuts
 
 # Style names and Name fields that are no characters.
 STYLES = ["default", "title", "staff", "song", "ed", "op", "note", "top"]
@@ -86,11 +87,12 @@ def parse_cuts(lines: DataFrame) -> DataFrame:
     return lines.select("ep", (seconds * 1000).cast("long").alias("at")).filter("at >= 0")
 
 
-def first_tier(tiers: list[DataFrame]) -> DataFrame:
-    """Of tables of cues in order of preference, each episode's rows from the first that has any."""
-    rows = None
-    for i, t in enumerate(tiers):
-        t = t.withColumn("tier", F.lit(i))
-        rows = t if rows is None else rows.unionByName(t)
-    best = rows.groupBy("path").agg(F.min("tier").alias("tier"))
-    return rows.join(best, ["path", "tier"]).drop("tier")
+def cut_points(lines: DataFrame, ends: DataFrame, gap_ms: int = 500) -> DataFrame:
+    """ep, at: 0, then each cut that lies ``gap_ms`` or more after the last one kept, then the end (ep, duration_ms) if it is later.
+
+    An episode whose log has no cut still has its start and end.
+    """
+    first = ends.select("ep", F.lit(0).cast("long").alias("at"))
+    kept = thin_cuts(parse_cuts(lines).unionByName(first), gap_ms)
+    last = kept.groupBy("ep").agg(F.max("at").alias("last")).join(ends, "ep").filter("duration_ms > last")
+    return kept.unionByName(last.select("ep", F.col("duration_ms").alias("at")))
