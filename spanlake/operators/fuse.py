@@ -6,10 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import compatible
 from .interval import interval_join
 
 FAMILIES, MARGIN = 2, 0.34
 FIELDS = ["gender", "age_band", "timbre"]
+# What a mouth may be told to do.
+STATES, MOTIONS = ["moving", "still", "not_visible"], ["speaking", "chewing", "yawning", "other", "not_applicable"]
 
 
 def visual_votes(turns: DataFrame, actions: DataFrame) -> DataFrame:
@@ -25,14 +28,19 @@ def over_split(votes: DataFrame) -> DataFrame:
 
 
 def mouth_compliance(actions: DataFrame, least: float = 0.80, longest_ms: int = 3000) -> DataFrame:
-    """Per episode: windows with a legal mouth state and motion, those not over 3 s, and whether the channel is usable."""
-    state = F.col("mouth_state").isin("moving", "still", "not_visible")
-    motion = F.col("mouth_motion").isin("speaking", "chewing", "yawning", "other", "not_applicable")
+    """Per episode: actions by mouth state and motion (any but the legal ones is unknown), the share with a legal state, windows
+    over 3 s, the share of the others, and whether the channel is usable: both shares reach ``least``."""
+    at = lambda column, values: {v: F.count_if(F.col(column) == v) for v in values}
+    states, motions = at("mouth_state", STATES), at("mouth_motion", MOTIONS)
+    other = lambda column, values: F.count_if(F.col(column).isNull() | ~F.col(column).isin(values))
     rows = actions.groupBy("ep").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(state & motion).alias("valid"), F.count_if(F.col("r_end_ms") - F.col("r_start_ms") <= longest_ms).alias("short"),
-        F.count_if(F.col("mouth_state") == "moving").alias("moving"), F.count_if(F.col("mouth_motion") == "speaking").alias("speaking"),
+        F.count(F.lit(1)).alias("total"), *[n.alias(f"state_{v}") for v, n in states.items()], other("mouth_state", STATES).alias("state_unknown"),
+        *[n.alias(f"motion_{v}") for v, n in motions.items()], other("mouth_motion", MOTIONS).alias("motion_unknown"),
+        F.count_if(F.col("r_end_ms") - F.col("r_start_ms") > longest_ms).alias("over"),
     )
-    return rows.withColumn("usable", (F.col("valid") / F.col("total") >= least) & (F.col("short") / F.col("total") >= least))
+    valid, short = F.col("total") - F.col("state_unknown"), F.col("total") - F.col("over")
+    rows = rows.withColumn("valid_rate", valid / F.col("total")).withColumn("window_compliance", short / F.col("total"))
+    return rows.withColumn("usable", (valid >= least * F.col("total")) & (short >= least * F.col("total")))
 
 
 def distributions(counts: DataFrame, unobserved: DataFrame, by: list[str]) -> DataFrame:
@@ -65,40 +73,40 @@ def margins(scores: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "winner", F.when(F.col("all") > 0, (F.col("first") - F.col("second")) / F.col("all")).otherwise(0.0).alias("margin"))
 
 
-def attribute_agreement(clusters: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts, unobserved) of the acoustic family: fields in which cluster and slot of an episode both are known and agree."""
+def compared(clusters: DataFrame, slots: DataFrame) -> DataFrame:
+    """ep, cluster_id, slot_id, agree, unknown: fields in which both are known and equal, and in which either is unknown."""
     pairs = clusters.join(slots.select("ep", "slot_id", *[F.col(f).alias(f"slot_{f}") for f in FIELDS]), "ep")
-    unknown = lambda f: (F.col(f) == "unknown") | (F.col(f"slot_{f}") == "unknown")
-    agree = sum((F.when(~unknown(f) & (F.col(f) == F.col(f"slot_{f}")), 1).otherwise(0) for f in FIELDS), F.lit(0))
-    unseen = sum((F.when(unknown(f), 1).otherwise(0) for f in FIELDS), F.lit(0))
-    rows = pairs.select("ep", "cluster_id", "slot_id", agree.alias("n"), unseen.alias("u"))
-    counts = rows.filter("n > 0").select("ep", "cluster_id", F.lit("acoustic").alias("family"), F.col("slot_id").alias("candidate"), F.col("n").cast("double").alias("n"))
-    return counts, rows.groupBy("ep", "cluster_id").agg(F.sum("u").cast("double").alias("u")).withColumn("family", F.lit("acoustic"))
+    verdicts = [compatible(F.col(f), F.col(f"slot_{f}")) for f in FIELDS]
+    count = lambda conditions: sum((F.when(c, 1).otherwise(0) for c in conditions), F.lit(0)).cast("long")
+    return pairs.select("ep", "cluster_id", "slot_id", count(verdicts).alias("agree"), count(v.isNull() for v in verdicts).alias("unknown"))
 
 
 def resolve(clusters: DataFrame, slots: DataFrame, votes: DataFrame, clips: DataFrame, ruled_out: DataFrame, signoffs: DataFrame) -> DataFrame:
-    """ep, cluster_id, slot_id, status, matched_via, margin: clusters in order of name, each to a known slot or a new one.
+    """ep, cluster_id, slot_id, status, matched_via, margin, entity_id, entity_name: clusters in order of name, each to a known slot
+    or a new one.
 
     A match needs two families and a clear margin. A new slot is a candidate for the clusters after it, so the fold is
     sequential within an episode; episodes, which hold a few dozen rows, are independent groups.
     clusters: ep, cluster_id, FIELDS; slots: ep, slot_id, FIELDS, visual_label, status; votes: ep, cluster_id, label,
-    votes; clips: ep, clips, usable; ruled_out: ep, cluster_id, slot_id; signoffs: ep, cluster_id.
+    votes; clips: ep, clips, usable; ruled_out: ep, cluster_id, slot_id; signoffs: ep, cluster_id. slots and signoffs may have entity_id and
+    entity_name: whom a person signed a slot, or a cluster, off as. They are all the names there are.
     """
-    tag = lambda df, kind, **cols: df.select("ep", F.lit(kind).alias("kind"), *[F.coalesce(F.col(cols[c]).cast("string"), F.lit("")).alias(c) if c in cols else F.lit("").alias(c) for c in "abcdefg"])
+    own = lambda df: {k: c for k, c in (("g", "entity_id"), ("h", "entity_name")) if c in df.columns}
+    tag = lambda df, kind, **cols: df.select("ep", F.lit(kind).alias("kind"), *[F.coalesce(F.col(cols[c]).cast("string"), F.lit("")).alias(c) if c in cols else F.lit("").alias(c) for c in "abcdefgh"])
     rows = tag(clusters, "cluster", a="cluster_id", b="gender", c="age_band", d="timbre")
-    rows = rows.unionByName(tag(slots, "slot", a="slot_id", b="gender", c="age_band", d="timbre", e="visual_label", f="status"))
+    rows = rows.unionByName(tag(slots, "slot", a="slot_id", b="gender", c="age_band", d="timbre", e="visual_label", f="status", **own(slots)))
     rows = rows.unionByName(tag(votes, "vote", a="cluster_id", b="label", c="votes")).unionByName(tag(clips, "clip", a="clips", b="usable"))
-    rows = rows.unionByName(tag(ruled_out, "out", a="cluster_id", b="slot_id")).unionByName(tag(signoffs, "sign", a="cluster_id"))
+    rows = rows.unionByName(tag(ruled_out, "out", a="cluster_id", b="slot_id")).unionByName(tag(signoffs, "sign", a="cluster_id", **own(signoffs)))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in own.groupby("kind")}
         each = lambda kind, *cols: part[kind][list(cols)].itertuples(index=False, name=None) if kind in part else iter(())
-        known = [list(x) for x in sorted(each("slot", *"abcdef"))]
+        known = [list(x) for x in sorted(each("slot", *"abcdefgh"))]
         clip = next(each("clip", "a", "b"), ("0", "false"))
         seen: dict = {}
         for c, label, n in each("vote", "a", "b", "c"):
             seen.setdefault(c, {})[label] = int(n)
-        barred, signed = set(each("out", "a", "b")), {x for (x,) in each("sign", "a")}
+        barred, signed = set(each("out", "a", "b")), {c: who for c, *who in each("sign", "a", "g", "h")}
         out = []
         for cluster, *attributes in sorted(each("cluster", *"abcd")):
             fit = [s for s in known if (cluster, s[0]) not in barred]
@@ -122,13 +130,15 @@ def resolve(clusters: DataFrame, slots: DataFrame, votes: DataFrame, clips: Data
             if support >= FAMILIES and margin >= MARGIN:
                 slot = next(s for s in known if s[0] == ranked[0][0])
                 approved = slot[5] == "approved"
-                out.append((cluster, slot[0], "approved" if approved else "candidate", "approved_slot" if approved else "pending_slot", margin))
+                out.append((cluster, slot[0], "approved" if approved else "candidate", "approved_slot" if approved else "pending_slot", margin, *slot[6:]))
                 continue
             slot_id, human = f"S{len(known) + 1}", cluster in signed
-            known.append([slot_id, *attributes, "", "approved" if human else "pending"])
-            out.append((cluster, slot_id, "approved" if human else "unknown", "human_signoff" if human else "new_slot", margin))
-        frame = pd.DataFrame(out, columns=["cluster_id", "slot_id", "status", "matched_via", "margin"])
+            who = signed.get(cluster, ["", ""])
+            known.append([slot_id, *attributes, "", "approved" if human else "pending", *who])
+            out.append((cluster, slot_id, "approved" if human else "unknown", "human_signoff" if human else "new_slot", margin, *who))
+        frame = pd.DataFrame(out, columns=["cluster_id", "slot_id", "status", "matched_via", "margin", "entity_id", "entity_name"])
+        frame[["entity_id", "entity_name"]] = frame[["entity_id", "entity_name"]].replace("", None)
         frame.insert(0, "ep", own["ep"].iloc[0])
         return frame
 
-    return rows.groupBy("ep").applyInPandas(run, "ep long, cluster_id string, slot_id string, status string, matched_via string, margin double")
+    return rows.groupBy("ep").applyInPandas(run, "ep long, cluster_id string, slot_id string, status string, matched_via string, margin double, entity_id string, entity_name string")

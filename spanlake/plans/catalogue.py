@@ -299,15 +299,6 @@ def fusion_margin(spark, d):
     return fuse.margins(fuse.fused(families(spark, d), ["ep", "cluster_id"]), ["ep", "cluster_id"]).withColumn("margin", F.round("margin", 9))
 
 
-@query
-def resolver_fold(spark, d):
-    rows = attribute_vote(spark, d).groupBy("ep", "cluster_id").pivot("field", fuse.FIELDS).agg(F.first("value"))
-    slots = rows.filter(F.col("cluster_id").isin("SPEAKER_A1", "SPEAKER_A2")).select("ep", F.concat(F.lit("S"), F.substring("cluster_id", -1, 1)).alias("slot_id"), *fuse.FIELDS, F.concat(F.lit("P"), F.substring("cluster_id", -1, 1)).alias("visual_label"), F.lit("approved").alias("status"))
-    clips = fuse.mouth_compliance(td.actions(spark, d)).select("ep", F.col("total").alias("clips"), "usable")
-    none = rows.filter("false")
-    return fuse.resolve(rows, slots, visual_votes(spark, d), clips, none.select("ep", "cluster_id", F.lit("S1").alias("slot_id")), none.select("ep", "cluster_id"))
-
-
 # text -----------------------------------------------------------------------
 
 
@@ -367,11 +358,6 @@ def vocative_events(spark, d):
     return called(spark, d).groupBy("ep", "index", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def vocative_terms(spark, d):
-    return vocative.term_tally(called(spark, d))
-
-
 @query
 def not_speaker(spark, d):
     return vocative.not_speaker(called(spark, d))
@@ -487,7 +473,7 @@ def silence_sessions(spark, d):
     return sessions.silence_sessions(rows).select("ep", (F.unix_micros("start") - epoch).alias("start_us"), (F.unix_micros("end") - epoch).alias("end_us"), "events")
 
 
-from . import files  # noqa: E402  registers its queries beside these
+from . import files, people  # noqa: E402  registers its queries beside these
 
 QUERIES |= registry.QUERIES
 ORACLES |= registry.ORACLES

@@ -267,10 +267,10 @@ wide AS (SELECT ep, pos // 5 + 1 AS scene, min(s) AS s, max(e) AS e FROM shots G
 held AS (SELECT ep, scene FROM wide WHERE (ep + scene) % 3 > 0)"""
 
 
-def scene_table(spark, d) -> DataFrame:
+def scene_table(spark, d, size: int = 5) -> DataFrame:
     from ..operators.align import scenes_of
 
-    return scenes_of(td.shots(spark, d), 5).select("ep", (F.col("pos") + 1).alias("scene"), "r_start_ms", "r_end_ms")
+    return scenes_of(td.shots(spark, d), size).select("ep", (F.col("pos") + 1).alias("scene"), "r_start_ms", "r_end_ms")
 
 
 @query(w(BASE, shots(), SCENE_SHOTS) + "SELECT ep, count(*) AS scenes, count(h.scene) AS written, count(*) - count(h.scene) AS missing, coalesce(string_agg(CASE WHEN h.scene IS NULL THEN w.scene::VARCHAR END, ',' ORDER BY w.scene), '') AS absent FROM wide w LEFT JOIN held h USING (ep, scene) GROUP BY ep")
@@ -283,7 +283,7 @@ def draft_presence(spark, d):
 
 
 @query(
-    w(BASE, shots(), CUES, SCENE_SHOTS)
+    w(BASE, shots(), CUES, SCENE_SHOTS.replace("pos // 5", "pos"))
     + """, n AS (SELECT w.ep, w.scene, w.s, w.e, CASE WHEN greatest(0, least(w.e, 105000) - greatest(w.s, 84000)) / greatest(1, w.e - w.s) > 0.5 THEN 'OP' WHEN greatest(0, least(w.e, 1440000) - greatest(w.s, 1320000)) / greatest(1, w.e - w.s) > 0.5 THEN 'ED' END AS label FROM wide w)
 SELECT n.ep, n.scene, md5('## 场 ' || n.scene || '【' || label || '】' || chr(10) || chr(10) || '（动画 ' || label || '——按配置略）' || chr(10)) AS digest FROM n ANTI JOIN held h USING (ep, scene)
 WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cues c WHERE c.ep = n.ep AND least(c.e, n.e) > greatest(c.s, n.s))"""
@@ -292,7 +292,7 @@ def stub_drafts(spark, d):
     """Drafts of scenes in the opening or the ending that nobody speaks in."""
     from ..operators.interval import interval_join
 
-    scenes = scene_table(spark, d)
+    scenes = scene_table(spark, d, 1)
     spoken = interval_join(td.cues(spark, d).select("ep", "start_ms", "end_ms"), scenes, ["ep"]).groupBy("ep", "scene").agg(F.count(F.lit(1)).alias("cues"))
     rows = scenes.join(spoken, ["ep", "scene"], "left").select("ep", "scene", windows.window_label(F.col("r_start_ms"), F.col("r_end_ms"), td.WINDOWS).alias("label"), F.coalesce("cues", F.lit(0)).alias("cues"))
     return sinks.stub_drafts(rows, scenes.filter("(ep + scene) % 3 > 0")).select("ep", "scene", F.md5("text").alias("digest"))
@@ -327,8 +327,10 @@ def table_snapshots(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT event_id, ['out/a.md', '../x/a.md', './b/../c', '/w/e1/../e10/q', '/w/e1/deep/x', '/w/e10', 'a/../../e1/z'][event_id % 7 + 1] AS path FROM events)
-SELECT path, path IN ('out/a.md', './b/../c', '/w/e1/deep/x', 'a/../../e1/z') AS inside, count(*) AS n FROM p GROUP BY ALL"""
+    r"""WITH p AS (SELECT ['out/a.md', '../x/a.md', './b/../c', '/w/e1/../e10/q', '/w/e1/deep/x', '/w/e10', 'a/../../e1/z'][event_id % 7 + 1] AS path FROM events),
+f AS (SELECT path, regexp_replace(CASE WHEN path LIKE '/%' THEN path ELSE '/w/e1/' || path END, '/\.(/|$)', '/') AS whole FROM p),
+n AS (SELECT path, regexp_replace(regexp_replace(whole, '/[^/.]+/\.\.(/|$)', '/'), '/[^/.]+/\.\.(/|$)', '/') AS whole FROM f)
+SELECT path, whole = '/w/e1' OR starts_with(whole, '/w/e1/') AS inside, count(*) AS n FROM n GROUP BY ALL"""
 )
 def contained_paths(spark, d):
     """Which output paths stay in the folder /w/e1."""

@@ -23,9 +23,9 @@ turns AS (
   SELECT ep, 1, 'Speaker ' || ((k + event_id) % 4), t + 300, t + 600 + CAST(floor(value * 12) AS BIGINT), event_id FROM base WHERE event_type = 'click' AND event_id % 5 = 0),
 voices AS (SELECT *, 'SPEAKER_A' || (part * 4 + CAST(right(raw_label, 1) AS INTEGER) + 1) AS cluster_id FROM turns)"""
 ACTIONS = """
-actions AS (SELECT ep, event_id AS action, t AS s, t + 2000 AS e, 'P' || (event_id % 5) AS who,
-  CASE WHEN event_id % 4 IN (0, 1) THEN 'moving' WHEN event_id % 4 = 2 THEN 'still' ELSE 'not_visible' END AS mouth_state,
-  CASE WHEN event_id % 4 IN (0, 1) THEN 'speaking' WHEN event_id % 4 = 2 THEN 'chewing' ELSE 'not_applicable' END AS mouth_motion
+actions AS (SELECT ep, event_id AS action, t // 60000 AS segment, t AS s, t + CASE WHEN event_id % 5 = 2 THEN 4000 ELSE 2000 END AS e, 'P' || (event_id % 5) AS who,
+  CASE WHEN event_id % 6 = 5 THEN 'open' WHEN event_id % 4 IN (0, 1) THEN 'moving' WHEN event_id % 4 = 2 THEN 'still' ELSE 'not_visible' END AS mouth_state,
+  CASE WHEN event_id % 4 IN (0, 1) THEN 'speaking' WHEN event_id % 4 = 2 THEN 'chewing' WHEN event_id % 6 = 5 THEN 'humming' ELSE 'not_applicable' END AS mouth_motion
   FROM base WHERE event_type IN ('error', 'view'))"""
 SCENES = """
 scenes AS (SELECT ep, pos // 5 AS pos, min(s) AS s, max(e) AS e, count(*) AS shots FROM shots GROUP BY ALL)"""
@@ -213,7 +213,11 @@ UNION ALL SELECT ep, seq, 'reversed' FROM y WHERE b < a UNION ALL SELECT ep, seq
     "over_split": w(BASE, TURNS, ACTIONS, VOTES)
     + "SELECT ep, label, string_agg(DISTINCT cluster_id, ',' ORDER BY cluster_id) AS clusters FROM vv GROUP BY ALL HAVING count(DISTINCT cluster_id) > 1",
     "mouth_compliance": w(BASE, ACTIONS)
-    + "SELECT ep, count(*) AS total, count(*) AS valid, count(*) FILTER (e - s <= 3000) AS short, count(*) FILTER (mouth_state = 'moving') AS moving, count(*) FILTER (mouth_motion = 'speaking') AS speaking, true AS usable FROM actions GROUP BY ep",
+    + """, n AS (SELECT ep, count(*) AS total, count(*) FILTER (mouth_state = 'moving') AS state_moving, count(*) FILTER (mouth_state = 'still') AS state_still, count(*) FILTER (mouth_state = 'not_visible') AS state_not_visible,
+  count(*) FILTER (mouth_state NOT IN ('moving', 'still', 'not_visible')) AS state_unknown, count(*) FILTER (mouth_motion = 'speaking') AS motion_speaking, count(*) FILTER (mouth_motion = 'chewing') AS motion_chewing, count(*) FILTER (mouth_motion = 'yawning') AS motion_yawning,
+  count(*) FILTER (mouth_motion = 'other') AS motion_other, count(*) FILTER (mouth_motion = 'not_applicable') AS motion_not_applicable, count(*) FILTER (mouth_motion NOT IN ('speaking', 'chewing', 'yawning', 'other', 'not_applicable')) AS motion_unknown,
+  count(*) FILTER (e - s > 3000) AS over FROM actions GROUP BY ep)
+SELECT *, (total - state_unknown) / total AS valid_rate, (total - over) / total AS window_compliance, total - state_unknown >= 0.8::DOUBLE * total AND total - over >= 0.8::DOUBLE * total AS usable FROM n""",
     "fusion_scores": w(BASE, TURNS, ACTIONS, VOTES, FUSED) + "SELECT ep, cluster_id, candidate, CAST(round(score, 9) AS DOUBLE) AS score FROM fused",
     "fusion_margin": w(BASE, TURNS, ACTIONS, VOTES, FUSED)
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY ep, cluster_id ORDER BY score DESC, candidate) AS k FROM fused)

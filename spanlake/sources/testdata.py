@@ -45,12 +45,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ep, action, r_start_ms, r_end_ms, who, mouth_state, mouth_motion."""
+    """ep, action, segment, r_start_ms, r_end_ms, who, mouth_state, mouth_motion; some states and motions are none that is legal."""
     rows = base(spark, sf_dir).filter(F.col("event_type").isin("error", "view"))
-    kind = F.col("event_id") % 4
-    state = F.when(kind.isin(0, 1), "moving").when(kind == 2, "still").otherwise("not_visible")
-    motion = F.when(kind.isin(0, 1), "speaking").when(kind == 2, "chewing").otherwise("not_applicable")
-    return rows.select("ep", F.col("event_id").alias("action"), F.col("t").alias("r_start_ms"), (F.col("t") + 2000).alias("r_end_ms"), F.concat(F.lit("P"), (F.col("event_id") % 5).cast("string")).alias("who"), state.alias("mouth_state"), motion.alias("mouth_motion"))
+    kind, odd, long = F.col("event_id") % 4, F.col("event_id") % 6 == 5, F.col("event_id") % 5 == 2
+    state = F.when(odd, "open").when(kind.isin(0, 1), "moving").when(kind == 2, "still").otherwise("not_visible")
+    motion = F.when(kind.isin(0, 1), "speaking").when(kind == 2, "chewing").when(odd, "humming").otherwise("not_applicable")
+    end = F.col("t") + F.when(long, 4000).otherwise(2000)
+    segment = F.floor(F.col("t") / 60_000).cast("long")
+    return rows.select("ep", F.col("event_id").alias("action"), segment.alias("segment"), F.col("t").alias("r_start_ms"), end.cast("long").alias("r_end_ms"), F.concat(F.lit("P"), (F.col("event_id") % 5).cast("string")).alias("who"), state.alias("mouth_state"), motion.alias("mouth_motion"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
