@@ -18,6 +18,7 @@ WHAT = {
     "actions": ["what", "description", "action", "content"], "camera": ["movement", "camera", "shot"],
     "acoustic_events": ["what", "event", "sound", "description"], "visible_text": ["text", "content"],
 }
+NO_ALIAS = {"visible_text": ["from", "to"]}  # there they are words of the text's own
 STATE, MOTION = ["mouth_state", "mouth", "mouthState"], ["mouth_motion", "motion", "mouthMotion"]
 STATES, MOTIONS = ["moving", "still", "not_visible"], ["speaking", "chewing", "yawning", "other", "not_applicable"]
 SHAPE = "struct<visual:struct<caption:string,actions:array<string>,camera:array<string>>,visible_text:array<string>,acoustic:struct<events:array<string>,music_mood:string>,uncertain:array<string>>"
@@ -40,8 +41,10 @@ def entries(notes: DataFrame) -> DataFrame:
     rows = parsed.select("ep", "segment", "start_ms", "end_ms", F.posexplode(every).alias("pos", "x")).select("ep", "segment", "start_ms", "end_ms", "pos", "x.channel", F.from_json("x.entry", "map<string,string>").alias("e"))
     span = F.greatest(F.lit(0.001), (F.col("end_ms") - F.col("start_ms")) / 1000.0)
     e = F.col("e")
-    start = flexible_seconds(_first(e, START), span)
-    end = F.when(_first(e, END).isNull(), start).otherwise(flexible_seconds(_first(e, END), span))
+    plain = F.col("channel").isin(*NO_ALIAS)
+    stamp = lambda names: F.when(plain, _first(e, [n for n in names if n not in NO_ALIAS["visible_text"]])).otherwise(_first(e, names))
+    start = flexible_seconds(stamp(START), span)
+    end = F.when(stamp(END).isNull(), start).otherwise(flexible_seconds(stamp(END), span))
     what = F.coalesce(*[F.when(F.col("channel") == c, _first(e, names)) for c, names in WHAT.items()])
     ok = F.coalesce(start.isNotNull() & end.isNotNull() & (end >= start) & what.isNotNull(), F.lit(False))
     acting = F.col("channel") == "actions"
@@ -57,11 +60,37 @@ def dropped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ep", "segment", "channel").agg(F.count_if(~F.col("ok")).alias("dropped"))
 
 
+def payload(note: Column) -> Column:
+    """The observation in a saved note: what it holds under raw, or the note itself if it is one; null if it holds none."""
+    raw = F.get_json_object(note, "$.raw")
+    bare = F.when(F.get_json_object(note, "$.visual").isNotNull(), note)
+    return F.when(F.ltrim(raw).startswith("{"), raw).otherwise(bare)
+
+
+def note_status(notes: DataFrame) -> DataFrame:
+    """ep, segment, code, tokens of saved notes (ep, segment, note): 7 where one is missing, no JSON or holds no observation, else 0."""
+    usable = F.try_parse_json("note").isNotNull() & payload(F.col("note")).isNotNull()
+    tokens = F.coalesce(F.get_json_object("note", "$.meta.usage.total_tokens").try_cast("long"), F.lit(0).cast("long"))
+    return notes.select("ep", "segment", F.when(F.coalesce(usable, F.lit(False)), 0).otherwise(7).alias("code"), tokens.alias("tokens"))
+
+
+def parsed_substance(notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """ep, segment, substance: whether any entry (of entries()) could be used, or the note has a caption, a mood or a doubt."""
+    note = F.from_json("raw", SHAPE)
+    some = lambda path: F.coalesce(F.length(F.trim(F.col(path))) > 0, F.lit(False))
+    used = rows.filter("ok").select("ep", "segment").distinct().withColumn("used", F.lit(True))
+    told = notes.withColumn("note", note).join(used, ["ep", "segment"], "left")
+    has = F.col("used").isNotNull() | some("note.visual.caption") | some("note.acoustic.music_mood") | F.coalesce(F.size(F.col("note.uncertain")) > 0, F.lit(False))
+    return told.select("ep", "segment", has.alias("substance"))
+
+
 def has_substance(notes: DataFrame) -> DataFrame:
-    """ep, segment, substance: whether a note holds any evidence at all."""
+    """ep, segment, substance: whether a note as it came holds anything, told by its shape alone: a text that is not blank, or a list with
+    such a thing in it."""
     note = F.from_json("raw", SHAPE)
     some = lambda path: F.coalesce(F.length(F.trim(F.col(path))) > 0, F.lit(False))
-    any_of = lambda path: F.coalesce(F.size(F.col(path)) > 0, F.lit(False))
+    blank = r'^\s*(""|" *"|null|false|0|\[\]|\{\})?\s*$'
+    any_of = lambda path: F.coalesce(F.exists(F.col(path), lambda x: x.isNotNull() & ~x.rlike(blank)), F.lit(False))
     rows = notes.withColumn("note", note)
     has = some("note.visual.caption") | some("note.acoustic.music_mood") | any_of("note.visual.actions") | any_of("note.visual.camera") | any_of("note.visible_text") | any_of("note.acoustic.events") | any_of("note.uncertain")
     return rows.select("ep", "segment", has.alias("substance"))

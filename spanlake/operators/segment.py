@@ -62,6 +62,12 @@ def features(cues: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.select("ep", "boundary", silence.alias("silence_ms"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
+def duration_sums(shots: DataFrame) -> DataFrame:
+    """ep, pos, upto_ms: the length of all shots up to each."""
+    upto = Window.partitionBy("ep").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return shots.select("ep", "pos", F.sum(F.col("r_end_ms") - F.col("r_start_ms")).over(upto).alias("upto_ms"))
+
+
 def partition(duration_s: np.ndarray, score: np.ndarray, forbidden: np.ndarray, k_min: int, k_max: int) -> list[int]:
     """Ends (indices) of the best k_min..k_max contiguous parts. score and forbidden: of the boundary after each shot.
 
@@ -76,22 +82,21 @@ def partition(duration_s: np.ndarray, score: np.ndarray, forbidden: np.ndarray,
     total = np.concatenate([[0.0], np.cumsum(duration_s)])
     reach = max(SPAN, -(-n // k_max))
 
-    def cost(first: np.ndarray, last: int) -> np.ndarray:
-        length = total[last + 1] - total[first]
-        return np.where(length < 10, (10 - length) * 3.0, np.where(length > 300, (length - 300) * 0.8, 0.0))
-
     step = -REWARD * score + PENALTY * forbidden
     best = np.full((k_max, n), np.inf)
     back = np.full((k_max, n), -1)
-    for j in range(min(n, reach)):
-        best[0, j] = cost(np.array([0]), j)[0]
-    for k in range(1, k_max):
-        for j in range(k, n):
-            p = np.arange(max(k - 1, j - reach), j)
-            value = best[k - 1, p] + (cost(p + 1, j) + step[p])
-            at = int(np.argmin(value))
-            if value[at] < best[k, j]:
-                best[k, j], back[k, j] = value[at], p[at]
+    for j in range(n):
+        first = np.arange(max(0, j - reach + 1), j + 1)
+        length = total[j + 1] - total[first]
+        cost = np.where(length < 10, (10 - length) * 3.0, np.where(length > 300, (length - 300) * 0.8, 0.0))
+        if j < reach:
+            best[0, j] = cost[0]
+        p = first - 1  # the last shot of the part before; a part that begins at 0 has none
+        p, cost = p[p >= 0], cost[p >= 0]
+        if len(p):
+            value = best[:-1, p] + (cost + step[p])
+            back[1:, j] = np.where(np.isfinite(value.min(axis=1)), p[value.argmin(axis=1)], -1)
+            best[1:, j] = value.min(axis=1)
     goals = best[k_min - 1 :, n - 1]
     if not np.isfinite(goals).any():
         return [n - 1]
@@ -103,14 +108,19 @@ def partition(duration_s: np.ndarray, score: np.ndarray, forbidden: np.ndarray,
     return ends[::-1]
 
 
+def solved_rows(shots: DataFrame, scores: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """ep, pos, s (seconds), score and forbidden of the boundary after each shot."""
+    rows = shots.join(scores.select("ep", F.col("boundary").alias("pos"), "score"), ["ep", "pos"], "left")
+    rows = rows.join(forbidden.select("ep", F.col("boundary").alias("pos"), F.lit(1.0).alias("forbidden")), ["ep", "pos"], "left")
+    return rows.select("ep", "pos", ((F.col("r_end_ms") - F.col("r_start_ms")) / 1000.0).alias("s"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("forbidden", F.lit(0.0)).alias("forbidden"))
+
+
 def solve(shots: DataFrame, scores: DataFrame, forbidden: DataFrame, k_min: int = MIN_SCENES, k_max: int = MAX_SCENES, target: int | None = None) -> DataFrame:
     """ep, scene, first_pos, last_pos, forced: the optimal scenes of each episode; forced marks a cut through dialogue.
 
     Dynamic programming over one episode's shots is sequential; episodes are independent groups.
     """
-    rows = shots.join(scores.select("ep", F.col("boundary").alias("pos"), "score"), ["ep", "pos"], "left")
-    rows = rows.join(forbidden.select("ep", F.col("boundary").alias("pos"), F.lit(1.0).alias("forbidden")), ["ep", "pos"], "left")
-    rows = rows.select("ep", "pos", ((F.col("r_end_ms") - F.col("r_start_ms")) / 1000.0).alias("s"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("forbidden", F.lit(0.0)).alias("forbidden"))
+    rows = solved_rows(shots, scores, forbidden)
     low, high = (target, target) if target else (k_min, k_max)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +147,8 @@ def walls(sequences: DataFrame, cues: DataFrame) -> DataFrame:
 
 def snap_walls(wall: DataFrame, cuts: DataFrame) -> DataFrame:
     """ep, wall, boundary, distance_ms, within: each wall at its nearest cut, the first on ties; if that is over 15 s off, at
-    the last cut before it. Boundaries are pushed up so that they rise strictly: max(index - k) + k as a running maximum.
+    the last cut before it. Boundaries are pushed up so that they rise strictly: max(index - k) + k as a running maximum. A wall that is
+    pushed beyond the last cut has a boundary that is none, and no distance; scenes.sequence_parts then takes the episode as a whole.
     """
     last = Window.partitionBy("ep").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("ep").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
@@ -151,6 +162,7 @@ def snap_walls(wall: DataFrame, cuts: DataFrame) -> DataFrame:
     rows = rows.withColumn("pick", F.when(F.col("within"), F.col("near.boundary")).otherwise(F.coalesce("before.boundary", F.lit(0))))
     k = F.row_number().over(Window.partitionBy("ep").orderBy("wall")) - 1
     rows = rows.withColumn("k", k).withColumn("boundary", F.max(F.col("pick") - F.col("k")).over(Window.partitionBy("ep").orderBy("wall").rowsBetween(Window.unboundedPreceding, 0)) + F.col("k"))
-    placed = rows.select("ep", "wall", F.col("at").alias("wall_ms"), "boundary", "within", "pick").join(cuts.select("ep", "boundary", "cut_ms"), ["ep", "boundary"])
+    placed = rows.select("ep", "wall", F.col("at").alias("wall_ms"), "boundary", "within", "pick").join(cuts.select("ep", "boundary", "cut_ms"), ["ep", "boundary"], "left")
     distance = F.abs(F.col("cut_ms") - F.col("wall_ms"))
-    return placed.select("ep", "wall", "boundary", distance.alias("distance_ms"), (F.col("within") & ((F.col("pick") == F.col("boundary")) | (distance <= SNAP_MS))).alias("within"))
+    within = F.col("within") & ((F.col("pick") == F.col("boundary")) | (distance <= SNAP_MS)) & F.col("cut_ms").isNotNull()
+    return placed.select("ep", "wall", "boundary", distance.alias("distance_ms"), F.coalesce(within, F.lit(False)).alias("within"))

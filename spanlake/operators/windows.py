@@ -56,6 +56,12 @@ def plan_segments(scenes: DataFrame, segment_ms: int = 90_000, overlap_ms: int =
     return ok.select("ep", "pos", "segment", start.alias("start_ms"), F.when(F.col("segment") == F.col("last"), F.col("r_end_ms")).otherwise(start + segment_ms).alias("end_ms"))
 
 
+def segment_fates(scenes: DataFrame, windows: list[tuple[int, int, str]], least_ms: int = 1_500) -> DataFrame:
+    """ep, pos, fate: the label of the exclusion window that holds a scene, short where it is too short to view, else planned."""
+    label = window_label(F.col("r_start_ms"), F.col("r_end_ms"), windows)
+    return scenes.select("ep", "pos", F.coalesce(label, F.when(F.col("r_end_ms") - F.col("r_start_ms") < least_ms, "short").otherwise("planned")).alias("fate"))
+
+
 def plan_chunks(episodes: DataFrame, threshold_s: int = 3000, target_s: int = 2700, tail_s: int = 600, overlap_s: int = 3) -> DataFrame:
     """ep, part, start_ms, end_ms of (ep, duration_ms): cuts every 45 min over 50 min, a short tail folded back, parts padded."""
     target = target_s * 1000

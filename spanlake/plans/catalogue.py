@@ -473,7 +473,7 @@ def silence_sessions(spark, d):
     return sessions.silence_sessions(rows).select("ep", (F.unix_micros("start") - epoch).alias("start_us"), (F.unix_micros("end") - epoch).alias("end_us"), "events")
 
 
-from . import files, people  # noqa: E402  registers its queries beside these
+from . import files, papers, people, stage  # noqa: E402  registers its queries beside these
 
 QUERIES |= registry.QUERIES
 ORACLES |= registry.ORACLES

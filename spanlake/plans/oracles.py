@@ -202,8 +202,8 @@ SELECT ep, boundary FROM f WHERE across OR post[2] - pre[2] < 500""",
 near AS (SELECT w.*, k.boundary, abs(k.cut_ms - wms) AS d, k.cut_ms, row_number() OVER (PARTITION BY w.ep, w.wall ORDER BY abs(k.cut_ms - wms), k.boundary) AS r FROM wl w JOIN cuts k USING (ep)),
 pick AS (SELECT n.ep, n.wall, n.wms, n.d <= 15000 AS win, CASE WHEN n.d <= 15000 THEN n.boundary ELSE coalesce((SELECT max(boundary) FROM cuts k WHERE k.ep = n.ep AND k.cut_ms <= n.wms), 0) END AS p FROM near n WHERE r = 1),
 fix AS (SELECT ep, wall, 1 AS step, p AS b FROM pick WHERE wall = 1 UNION ALL SELECT f.ep, f.wall + 1, 1, greatest(p.p, f.b + 1) FROM fix f JOIN pick p ON p.ep = f.ep AND p.wall = f.wall + 1)
-SELECT f.ep, f.wall, f.b AS boundary, CAST(abs(k.cut_ms - p.wms) AS DOUBLE) AS distance_ms, p.win AND (p.p = f.b OR abs(k.cut_ms - p.wms) <= 15000) AS within
-FROM fix f JOIN pick p ON p.ep = f.ep AND p.wall = f.wall JOIN cuts k ON k.ep = f.ep AND k.boundary = f.b""",
+SELECT f.ep, f.wall, f.b AS boundary, CAST(abs(k.cut_ms - p.wms) AS DOUBLE) AS distance_ms, k.cut_ms IS NOT NULL AND p.win AND (p.p = f.b OR abs(k.cut_ms - p.wms) <= 15000) AS within
+FROM fix f JOIN pick p ON p.ep = f.ep AND p.wall = f.wall LEFT JOIN cuts k ON k.ep = f.ep AND k.boundary = f.b""",
     "outline_contiguity": w(BASE, CUES, SEQUENCES)
     + """, x AS (SELECT ep, seq, a, CASE WHEN seq % 3 = 0 THEN b - 1 WHEN seq % 5 = 0 THEN b + 1 ELSE b END AS b FROM seqs),
 y AS (SELECT *, lag(b) OVER o AS pb, lead(a) OVER o AS na FROM x WINDOW o AS (PARTITION BY ep ORDER BY seq)), z AS (SELECT ep, min(cue) AS f, max(cue) AS l FROM cues GROUP BY ep)
