@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import classify, cluster_token, split_head, trace
 
+# How drafts write placeholders, dialogue heads and overrides. A digit after another digit counts as a number of its own.
 PLACEHOLDER = r"\[\[SUB:(\d+)\]\]"
 HEAD = r"^\*\*([^*\n]{1,24})\*\*(?:\s*$|\s*[（(][^）)]*[）)]\s*[：:]|\s*[：:])"
 OVERRIDE = r"(?s)<!--\s*attribution-override:\s*(.*?)-->"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, time
-from ..operators import align, attribute, fuse, notes, segment, splice, streams, vocative, windows
+from ..operators import align, attribute, fuse, interval, notes, segment, splice, streams, vocative, windows
 from ..sources import replies
 from ..sources import testdata as td
 from ..streaming import sessions
@@ -139,13 +139,14 @@ def attribute_vote(spark, d):
 @query
 def attribute_compliance(spark, d):
     rows = attributed(spark, d)
-    return rows.groupBy("ep").agg(*[(F.sum((F.col(f) != "unknown").cast("long"))).alias(f) for f in fuse.FIELDS], F.count(F.lit(1)).alias("turns"))
+    told = rows.groupBy("ep").agg(*[F.count_if(F.col(f) != "unknown").alias(f) for f in fuse.FIELDS], F.count(F.lit(1)).alias("turns"))
+    return told.withColumn("rate", sum((F.col(f) for f in fuse.FIELDS), F.lit(0)) / (F.col("turns") * len(fuse.FIELDS)))
 
 
 @query
 def diarization_totals(spark, d):
     rows = bound(spark, d)
-    return rows.groupBy("ep").agg(F.count(F.lit(1)).alias("cues"), F.countDistinct("cluster_id").alias("clusters"), F.count_if(F.col("cluster_id").isNull()).alias("unattributed"), F.count_if(F.col("secondary_speaker").isNotNull()).alias("shared"))
+    return rows.groupBy("ep").agg(F.count(F.lit(1)).alias("cues"), F.countDistinct("cluster_id").alias("clusters"), F.count_if(F.col("cluster_id").isNull()).alias("unattributed"), F.count_if(F.col("secondary_speaker").isNotNull()).alias("shared"), F.countDistinct("speaker").alias("speakers"))
 
 
 # windows and plans ----------------------------------------------------------
@@ -420,6 +421,8 @@ def attribution_audit(spark, d):
     drafts, _, cues = scripted(spark, d)
     clusters, slots, entities = cast(spark, d)
     names = splice.lineage(clusters, slots, entities)
+    waived = F.when(F.col("ep") % 4 == 1, F.concat("text", F.lit("\n<!-- attribution-override: lines 1, 3 -->"))).otherwise(F.col("text"))
+    drafts = drafts.withColumn("text", waived)
     return splice.audit(drafts, cues.select("ep", "scene", "sub", "speaker"), clusters, names)
 
 
@@ -440,13 +443,13 @@ def observed(spark, d) -> DataFrame:
     rows = td.base(spark, d).filter(F.col("event_type") == "error")
     k = F.pmod("event_id", F.lit(4))
     entry = F.format_string('{"%s": "%s", "end": %s, "who": "P%d", "what": "w%d", "mouth_state": "%s", "mouth_motion": "speaking"}', F.when(k == 0, "start").when(k == 1, "start_time").when(k == 2, "from").otherwise("begin"), F.when(k == 0, "1.5").when(k == 1, "0:02").otherwise("3"), F.when(k == 2, F.lit("99")).otherwise("4.25"), F.pmod("event_id", F.lit(5)), F.pmod("event_id", F.lit(3)), F.when(F.pmod("event_id", F.lit(2)) == 0, "Moving").otherwise("odd"))
-    raw = F.concat(F.lit('{"visual": {"caption": "", "actions": ['), entry, F.lit("]}}"))
+    raw = F.concat(F.lit('{"visual": {"caption": "", "actions": ['), entry, F.lit(']}, "visible_text": [{"from": "1", "text": "t"}, {"start": "2", "content": "u", "to": "9999"}]}'))
     return rows.select("ep", F.col("event_id").alias("segment"), F.col("t").alias("start_ms"), (F.col("t") + 5000).alias("end_ms"), raw.alias("raw"))
 
 
 @query
 def note_entries(spark, d):
-    return notes.entries(observed(spark, d)).select("ep", "segment", "ok", "start", "end", "who", "what", "mouth_state")
+    return notes.entries(observed(spark, d)).select("ep", "segment", "channel", "ok", "start", "end", "who", "what", "mouth_state")
 
 
 @query
@@ -466,6 +469,58 @@ def audio_encodings(spark, d):
     return rows.select("event_id", replies.audio_encoding(F.col("s"), F.col("raw")).alias("encoding"))
 
 
+@query
+def overlapped_windows(spark, d):
+    rows = td.table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("ts").cast("timestamp").alias("ts"))
+    epoch = F.unix_micros(F.expr("CAST(TIMESTAMP_NTZ '1970-01-01 00:00:00' AS TIMESTAMP)"))
+    return sessions.overlapped_counts(rows).select("ep", (F.unix_micros("start") - epoch).alias("start_us"), "events")
+
+
+@query
+def unfinished_work(spark, d):
+    """Parts still to be run: those without an output, or with an invalid one."""
+    rows = td.table(spark, d, "events")
+    done = rows.filter("event_id % 3 > 0").select("event_id", (F.col("event_id") % 5 > 0).alias("valid"))
+    return sessions.unfinished(rows, done, ["event_id"]).select("event_id")
+
+
+@query
+def scene_manifest(spark, d):
+    """A row a scene of all that the writer is given: its label, cues, seen acts, pictures, and whether it has a draft."""
+    from .files import scene_table
+    from .stage import keyframe_samples
+
+    scenes = scene_table(spark, d, 20)
+    count = lambda rows, name: rows.groupBy("ep", "scene").agg(F.count(F.lit(1)).alias(name))
+    said = interval.best_overlap(td.cues(spark, d), scenes.withColumnRenamed("scene", "pos"), 0).withColumnRenamed("pos", "scene")
+    seen = interval.interval_join(td.actions(spark, d).select("ep", F.col("r_start_ms").alias("start_ms"), F.col("r_end_ms").alias("end_ms")), scenes, ["ep"])
+    rows = scenes.withColumn("label", windows.window_label(F.col("r_start_ms"), F.col("r_end_ms"), td.WINDOWS))
+    for part, name in ((said, "cues"), (seen, "acts"), (keyframe_samples(spark, d), "pictures")):
+        rows = rows.join(count(part, name), ["ep", "scene"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.select("ep", "scene", "label", "cues", "acts", "pictures", ((F.col("ep") + F.col("scene")) % 3 > 0).alias("written"))
+
+
+@query
+def violation_messages(spark, d):
+    """The first few placeholders at fault under each rule, as a message lists them."""
+    rows = placeholder_check(spark, d)
+    first = F.slice(F.sort_array(F.collect_list("sub")), 1, 12)
+    return rows.groupBy("ep", "rule").agg(F.array_join(first.cast("array<string>"), ", ").alias("listed"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def embedded_choice(spark, d):
+    """The stream to take from each file, of what its probe lists."""
+    from ..sources import connectors
+
+    e = F.col("event_id")
+    lang = F.element_at(F.array(*map(F.lit, ["eng", "chi", "zho"])), (e % 3 + 1).cast("int"))
+    one = F.concat(F.lit('{"index": '), e.cast("string"), F.lit(', "codec_type": "'), F.when(e % 4 == 0, "audio").otherwise("subtitle"), F.lit('", "tags": {"language": "'), lang, F.lit('", "title": "'), F.when(e % 5 == 0, "Signs").otherwise(""), F.lit('"}, "disposition": {"forced": '), F.when(e % 7 == 0, "1").otherwise("0"), F.lit("}}"))
+    probes = td.table(spark, d, "events").select(F.floor(e / 6).cast("long").alias("id"), e.alias("o"), one.alias("s")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "s"))).alias("l"))
+    report = F.concat(F.lit('{"streams": ['), F.array_join(F.transform("l", lambda x: x["s"]), ", "), F.lit("]}"))
+    return streams.select_stream(connectors.subtitle_streams(probes.select("id", report.alias("report"))))
+
+
 @query
 def silence_sessions(spark, d):
     rows = td.table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("ts").cast("timestamp").alias("ts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import labels
+
 BASE = """
 base AS (SELECT user_id AS ep, event_id, event_type, value, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000000 AS t FROM events)"""
@@ -88,6 +90,11 @@ lines AS (SELECT conv_id AS ep, turn AS index, role AS speaker, text FROM conver
 SCRIPT = """
 script AS (SELECT ep, 1::BIGINT AS scene, index + 1 AS sub, speaker, text,
   CASE WHEN ep % 7 = 3 AND index = 1 THEN 1 WHEN ep % 11 = 5 AND index = 0 THEN 900 ELSE index + 1 END AS shown FROM lines)"""
+CAST = """
+cluster AS (SELECT DISTINCT ep, speaker AS cluster_id, CASE WHEN speaker = 'user' THEN 'S1' ELSE 'S2' END AS slot_id, CASE WHEN speaker = 'user' THEN 'approved' ELSE 'pending' END AS status FROM lines),
+named AS (SELECT c.ep, c.cluster_id, e.name, trim(unnest(e.surfaces)) AS surface FROM cluster c JOIN (VALUES ('S1', 'E1')) s(slot_id, entity_id) USING (slot_id) JOIN (VALUES ('E1', 'assistant', ['assistant', 'helper', ' aide '])) e(entity_id, name, surfaces) USING (entity_id) WHERE c.status = 'approved')"""
+GENERIC = "(" + ", ".join(f"'{x}'" for x in labels.GENERIC) + ")"
+VOICE_OF, SHAPE = labels.VOICE_OF, labels.SHAPE
 # Separators of address terms, as a character class.
 SEPARATORS = '，,、：:！!？?…—·~～  \\t"“”「」『』（）()【】'
 CALLED = f"""
@@ -146,9 +153,9 @@ cnt AS (SELECT ep, cluster_id, field, v, count(*) AS n FROM each GROUP BY ALL),
 top AS (SELECT ep, cluster_id, field, CAST(coalesce(sum(n) FILTER (v <> 'unknown'), 0) AS BIGINT) AS known, max(n) FILTER (v <> 'unknown') AS n, arg_max(v, n) FILTER (v <> 'unknown') AS v FROM cnt GROUP BY ALL)
 SELECT ep, cluster_id, field, CASE WHEN n / known >= 0.6 THEN v ELSE 'unknown' END AS value, CASE WHEN n / known >= 0.6 THEN n ELSE 0 END AS votes, known FROM top""",
     "attribute_compliance": w(BASE, TURNS, ATTRS)
-    + "SELECT ep, count(*) FILTER (gender <> 'unknown') AS gender, count(*) FILTER (age_band <> 'unknown') AS age_band, count(*) FILTER (timbre <> 'unknown') AS timbre, count(*) AS turns FROM attrs GROUP BY ep",
+    + "SELECT ep, count(*) FILTER (gender <> 'unknown') AS gender, count(*) FILTER (age_band <> 'unknown') AS age_band, count(*) FILTER (timbre <> 'unknown') AS timbre, count(*) AS turns, (count(*) FILTER (gender <> 'unknown') + count(*) FILTER (age_band <> 'unknown') + count(*) FILTER (timbre <> 'unknown')) / (3 * count(*)) AS rate FROM attrs GROUP BY ep",
     "diarization_totals": w(BASE, CUES, TURNS, BIND)
-    + "SELECT ep, count(*) AS cues, count(DISTINCT cluster_id) AS clusters, count(*) FILTER (cluster_id IS NULL) AS unattributed, count(*) FILTER (secondary_speaker IS NOT NULL) AS shared FROM bound GROUP BY ep",
+    + "SELECT ep, count(*) AS cues, count(DISTINCT cluster_id) AS clusters, count(*) FILTER (cluster_id IS NULL) AS unattributed, count(*) FILTER (secondary_speaker IS NOT NULL) AS shared, count(DISTINCT speaker) AS speakers FROM bound GROUP BY ep",
     "oped_filter_kept": w(BASE, CUES)
     + """, r AS (SELECT *, greatest(0, least(greatest(e, s + 1), 105000) - greatest(s, 84000)) / greatest(1, greatest(e, s + 1) - s) AS o, greatest(0, least(greatest(e, s + 1), 1440000) - greatest(s, 1320000)) / greatest(1, greatest(e, s + 1) - s) AS d FROM cues)
 SELECT ep, cue, row_number() OVER (PARTITION BY ep ORDER BY s, cue) AS index FROM r WHERE o <= 0.5 AND d <= 0.5""",
@@ -235,10 +242,13 @@ FROM (SELECT *, CASE WHEN regexp_matches(line, '^[【\\[（(][^】\\]）)]+[】\
   WHEN regexp_matches(line, '^[^：:\\s\\d()\\[\\]【】]{1,16}\\s*[：:]\\s*[^\\n]+$') AND NOT regexp_matches(regexp_extract(line, '^([^：:\\s\\d()\\[\\]【】]{1,16})\\s*[：:]', 1), '(?i)^(http|https|ftp)$') THEN 2 ELSE 0 END AS head
   FROM (SELECT ep, index, trim(CASE index % 3 WHEN 0 THEN '【' || speaker || '】' WHEN 1 THEN speaker || '：' ELSE '(music)' END || text, SP) AS line FROM lines))""".replace("SP", "' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)").replace("\\\\", "\\"),
     "label_taxonomy": w(LABELLED)
-    + """SELECT label, CASE WHEN label = '' THEN 'descriptive' WHEN label LIKE 'SPEAKER_%' THEN 'provisional' WHEN label IN ('旁白', '家人们', '路人（男）') THEN 'generic'
-  WHEN label IN ('王子的声音', '威严之声', '老年男人', '神秘老者', '菈菈、店员') THEN 'descriptive' ELSE 'name' END AS kind, count(*) AS n FROM listed GROUP BY ALL""",
+    + f""", t AS (SELECT label, trim(label) AS t, regexp_replace(trim(label), '[（(][^（）()]*[)）]\\s*$', '') AS bare FROM listed)
+SELECT label, CASE WHEN t = '' THEN 'descriptive' WHEN regexp_matches(t, '^SPEAKER_[A-Z0-9]+$') THEN 'provisional' WHEN t IN {GENERIC} OR bare IN {GENERIC} THEN 'generic'
+  WHEN len(list_filter(list_append(regexp_split_to_array(t, '[、/／]'), t), lambda p: regexp_matches(trim(p), '{VOICE_OF}') OR regexp_matches(trim(p), '{SHAPE}'))) > 0 THEN 'descriptive' ELSE 'name' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
     "label_trace": w(LABELLED)
-    + "SELECT label, CASE WHEN label IN ('茉里', '茉里与妈妈') THEN '茉里' WHEN label = '菈菈、店员' THEN '菈菈' END AS surface, count(*) AS n FROM listed GROUP BY ALL",
+    + """, t AS (SELECT label, trim(label) AS t, regexp_replace(trim(label), '[（(][^（）()]*[)）]\\s*$', '') AS bare, ['茉里', '菈菈', '罗温'] AS known FROM listed),
+h AS (SELECT *, list_filter(known, lambda k: length(k) >= 2 AND starts_with(t, k) AND (t = k OR regexp_matches(substr(t, length(k) + 1, 1), '[与和跟及、／/（( 们]'))) AS a, list_filter(known, lambda k: length(k) >= 2 AND starts_with(bare, k) AND (bare = k OR regexp_matches(substr(bare, length(k) + 1, 1), '[与和跟及、／/（( 们]'))) AS b FROM t)
+SELECT label, CASE WHEN t = '' THEN NULL WHEN list_contains(known, t) THEN t WHEN list_contains(known, bare) THEN bare ELSE coalesce(a[1], b[1]) END AS surface, count(*) AS n FROM h GROUP BY ALL""",
     "vocative_events": w(LINES, CALLED) + "SELECT ep, index, cluster_id, term, n FROM heard",
     "not_speaker": w(LINES, CALLED) + "SELECT ep, cluster_id, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM heard WHERE cluster_id IS NOT NULL GROUP BY ALL",
     "histogram_distance": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) / list_sum(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE))))) AS h FROM embeddings)
@@ -253,17 +263,22 @@ UNION ALL SELECT DISTINCT ep, scene, 'disorder', sub FROM (SELECT *, lag(sub) OV
     + """SELECT a.ep, a.scene, md5('**INT**｜room' || chr(10) || string_agg('**' || a.speaker || '**：' || coalesce(b.text, ''), chr(10) ORDER BY a.sub)) AS digest
 FROM script a LEFT JOIN script b ON b.ep = a.ep AND b.sub = a.shown GROUP BY a.ep, a.scene""",
     "head_of_placeholder": w(LINES, SCRIPT) + "SELECT ep, scene, shown AS sub, arg_max(speaker, sub) AS head FROM script GROUP BY ep, scene, shown",
-    "lineage_names": "SELECT DISTINCT conv_id AS ep, 'user' AS cluster_id, 'assistant' AS name, unnest(['assistant', 'helper', 'aide']) AS surface FROM conversations WHERE role = 'user'",
-    "attribution_audit": w(LINES, SCRIPT)
+    "lineage_names": w(LINES, CAST) + "SELECT ep, cluster_id, name, surface FROM named",
+    "attribution_audit": w(LINES, SCRIPT, CAST)
     + """, h AS (SELECT ep, scene, shown AS sub, arg_max(speaker, sub) AS head FROM script GROUP BY ep, scene, shown)
-SELECT s.ep, s.scene, s.sub, s.speaker AS cluster_id, h.head, CASE WHEN s.speaker = 'user' THEN 'assistant' END AS expected FROM script s JOIN h USING (ep, scene, sub)
-WHERE h.head = 'assistant' AND s.speaker <> 'user' AND s.ep IN (SELECT ep FROM lines WHERE speaker = 'user')""",
+SELECT DISTINCT s.ep, s.scene, s.sub, s.speaker AS cluster_id, h.head, o.name AS expected FROM script s JOIN h USING (ep, scene, sub) JOIN cluster c ON c.ep = s.ep AND c.cluster_id = s.speaker JOIN named t ON t.ep = s.ep AND t.surface = h.head LEFT JOIN named o ON o.ep = s.ep AND o.cluster_id = s.speaker
+WHERE t.name IS DISTINCT FROM o.name AND NOT (s.ep % 4 = 1 AND s.sub IN (1, 3))""",
 }
 NOTED = """
-noted AS (SELECT ep, event_id AS segment, t, event_id % 4 AS k, CASE event_id % 4 WHEN 0 THEN 1500 WHEN 1 THEN 2000 WHEN 2 THEN 3000 END AS a, CASE WHEN event_id % 4 = 2 THEN NULL ELSE 4250 END AS b, event_id
-  FROM base WHERE event_type = 'error')"""
-SQL["note_entries"] = w(BASE, NOTED) + """SELECT ep, segment, k < 2 AS ok, t + a AS start, t + b AS "end", 'P' || (event_id % 5) AS who, 'w' || (event_id % 3) AS what, CASE WHEN event_id % 2 = 0 THEN 'moving' ELSE 'unknown' END AS mouth_state FROM noted"""
-SQL["note_drops"] = w(BASE, NOTED) + "SELECT ep, segment, 'actions' AS channel, CAST(CASE WHEN k < 2 THEN 0 ELSE 1 END AS BIGINT) AS dropped FROM noted"
+raws AS (SELECT ep, event_id AS segment, t, '{"visual": {"caption": "", "actions": [{"' || ['start', 'start_time', 'from', 'begin'][event_id % 4 + 1] || '": "' || ['1.5', '0:02', '3', '3'][event_id % 4 + 1] || '", "end": ' || CASE WHEN event_id % 4 = 2 THEN '99' ELSE '4.25' END
+  || ', "who": "P' || event_id % 5 || '", "what": "w' || event_id % 3 || '", "mouth_state": "' || CASE WHEN event_id % 2 = 0 THEN 'Moving' ELSE 'odd' END || '", "mouth_motion": "speaking"}]}, "visible_text": [{"from": "1", "text": "t"}, {"start": "2", "content": "u", "to": "9999"}]}' AS raw FROM base WHERE event_type = 'error'),
+each AS (SELECT ep, segment, t, c, unnest(from_json(json_extract(raw, p), '["JSON"]')) AS x FROM raws, (VALUES ('actions', '$.visual.actions'), ('visible_text', '$.visible_text')) v(c, p)),
+stamp AS (SELECT *, CASE WHEN c = 'actions' THEN coalesce(x ->> '$.start', x ->> '$.start_time', x ->> '$.start_sec', x ->> '$.from') ELSE coalesce(x ->> '$.start', x ->> '$.start_time', x ->> '$.start_sec') END AS s0, CASE WHEN c = 'actions' THEN coalesce(x ->> '$.end', x ->> '$.end_time', x ->> '$.to') ELSE coalesce(x ->> '$.end', x ->> '$.end_time') END AS e0 FROM each),
+secs AS (SELECT *, list_reduce(list_transform(string_split(s0, ':'), lambda v: CAST(v AS DOUBLE)), lambda a, v: a * 60 + v) AS s1, list_reduce(list_transform(string_split(coalesce(e0, s0), ':'), lambda v: CAST(v AS DOUBLE)), lambda a, v: a * 60 + v) AS e1 FROM stamp),
+noted AS (SELECT ep, segment, c AS channel, t + CAST(round_even(CASE WHEN s1 BETWEEN 0 AND 5.5 THEN s1 END * 1000, 0) AS BIGINT) AS start, t + CAST(round_even(CASE WHEN e1 BETWEEN 0 AND 5.5 THEN e1 END * 1000, 0) AS BIGINT) AS "end", CASE WHEN c = 'actions' THEN x ->> '$.who' END AS who, coalesce(x ->> '$.what', x ->> '$.text', x ->> '$.content') AS what,
+  CASE WHEN c = 'actions' THEN CASE WHEN lower(x ->> '$.mouth_state') IN ('moving', 'still', 'not_visible') THEN lower(x ->> '$.mouth_state') ELSE 'unknown' END END AS mouth_state FROM secs)"""
+SQL["note_entries"] = w(BASE, NOTED) + """SELECT ep, segment, channel, coalesce("end" >= start AND what IS NOT NULL, false) AS ok, start, "end", who, what, mouth_state FROM noted"""
+SQL["note_drops"] = w(BASE, NOTED) + """SELECT ep, segment, channel, count(*) FILTER (NOT coalesce("end" >= start AND what IS NOT NULL, false)) AS dropped FROM noted GROUP BY ALL"""
 SQL["audio_encodings"] = """WITH e AS (SELECT event_id, event_id % 5000 AS s, event_id * 3000 AS raw FROM events)
 SELECT event_id, CASE WHEN raw <= 7275000 THEN 'passthrough' WHEN s * 32000 <= 7275000 THEN 'wav' WHEN s * 8000 <= 7275000 THEN 'mp3-64' WHEN s * 6000 <= 7275000 THEN 'mp3-48' WHEN s * 5000 <= 7275000 THEN 'mp3-40'
   WHEN s * 4000 <= 7275000 THEN 'mp3-32' WHEN s * 3000 <= 7275000 THEN 'mp3-24' WHEN s * 2000 <= 7275000 THEN 'mp3-16' END AS encoding FROM e"""
@@ -277,3 +292,21 @@ SELECT n.ep, n.pos, n.s AS r_start_ms, n.e AS r_end_ms, n.shots, cc.cue_count, c
   CASE WHEN greatest(0, least(n.e, 105000) - greatest(n.s, 84000)) / greatest(1, n.e - n.s) > 0.5 THEN 'OP' WHEN greatest(0, least(n.e, 1440000) - greatest(n.s, 1320000)) / greatest(1, n.e - n.s) > 0.5 THEN 'ED' END AS label
 FROM scenes n LEFT JOIN cc USING (ep, pos) LEFT JOIN cv USING (ep, pos)"""
 )
+SQL["overlapped_windows"] = """WITH e AS (SELECT user_id AS ep, epoch_us(ts) // 60000000 AS m FROM events)
+SELECT ep, (m // 85 - k) * 85 * 60000000 AS start_us, count(*) AS events FROM e, (VALUES (0), (1)) v(k) WHERE m < (m // 85 - k) * 85 + 90 GROUP BY ALL"""
+SQL["unfinished_work"] = "SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0"
+SQL["violation_messages"] = "WITH v AS (" + SQL["placeholder_check"] + "), r AS (SELECT *, row_number() OVER (PARTITION BY ep, rule ORDER BY sub) AS k FROM v) SELECT ep, rule, string_agg(sub::VARCHAR, ', ' ORDER BY sub) FILTER (k <= 12) AS listed, count(*) AS n FROM r GROUP BY ep, rule"
+SQL["embedded_choice"] = """WITH s AS (SELECT event_id // 6 AS ep, event_id AS index, ['eng', 'chi', 'zho'][event_id % 3 + 1] AS lang, event_id % 5 = 0 OR event_id % 7 = 0 AS skip FROM events WHERE event_id % 4 > 0),
+r AS (SELECT *, CASE WHEN skip THEN 9 WHEN lang = 'chi' THEN 0 WHEN lang = 'zho' THEN 1 ELSE 5 END AS o FROM s) SELECT ep, index, CASE o WHEN 9 THEN 'last_resort' WHEN 5 THEN 'first_non_sign' ELSE 'language' END AS reason FROM r QUALIFY row_number() OVER (PARTITION BY ep ORDER BY o, index) = 1"""
+SQL["scene_manifest"] = (
+    w(BASE, shots(), CUES, ACTIONS)
+    + """, n AS (SELECT ep, pos // 20 + 1 AS scene, min(s) AS s, max(e) AS e FROM shots GROUP BY ALL),
+c AS (SELECT ep, scene, count(*) AS cues FROM (SELECT c.ep, c.cue, n.scene, row_number() OVER (PARTITION BY c.ep, c.cue ORDER BY least(c.e, n.e) - greatest(c.s, n.s) DESC, n.scene) AS r FROM cues c JOIN n ON n.ep = c.ep AND least(c.e, n.e) > greatest(c.s, n.s)) WHERE r = 1 GROUP BY ALL),
+a AS (SELECT n.ep, n.scene, count(*) AS acts FROM actions x JOIN n ON n.ep = x.ep AND least(x.e, n.e) > greatest(x.s, n.s) GROUP BY ALL),
+m AS (SELECT n.ep, n.scene, h.pos, h.s >= n.s - 700 AND h.s < n.e - 700 AS inside FROM n JOIN shots h ON h.ep = n.ep AND least(h.e, n.e - 700) > greatest(h.s, n.s - 700)),
+k AS (SELECT *, bool_or(inside) OVER (PARTITION BY ep, scene) AS found FROM m), q AS (SELECT ep, scene, pos, row_number() OVER (PARTITION BY ep, scene ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY ep, scene) AS n FROM k WHERE inside OR NOT found),
+t AS (SELECT DISTINCT ep, scene, CAST(floor(j * (n / 12.0)) AS BIGINT) AS i FROM (SELECT DISTINCT ep, scene, n FROM q WHERE n > 12), generate_series(0, 11) g(j)),
+f AS (SELECT q.ep, q.scene, count(*) AS pictures FROM q LEFT JOIN t USING (ep, scene, i) WHERE (n <= 12 OR t.i IS NOT NULL) AND (q.ep + q.pos) % 4 > 0 GROUP BY ALL)
+SELECT n.ep, n.scene, CASE WHEN greatest(0, least(e, 105000) - greatest(s, 84000)) / greatest(1, e - s) > 0.5 THEN 'OP' WHEN greatest(0, least(e, 1440000) - greatest(s, 1320000)) / greatest(1, e - s) > 0.5 THEN 'ED' END AS label,
+  coalesce(cues, 0) AS cues, coalesce(acts, 0) AS acts, coalesce(pictures, 0) AS pictures, (n.ep + n.scene) % 3 > 0 AS written FROM n LEFT JOIN c USING (ep, scene) LEFT JOIN a USING (ep, scene) LEFT JOIN f USING (ep, scene)"""
+)

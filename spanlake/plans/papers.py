@@ -159,7 +159,8 @@ def delivery(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT DISTINCT conv_id AS ep FROM conversations) SELECT ep, CASE ep % 3 WHEN 0 THEN '3,17,20' WHEN 1 THEN '5' ELSE '' END AS lines, CASE ep % 3 WHEN 0 THEN 'A12' WHEN 1 THEN 'A2,B7' ELSE '' END AS clusters FROM o"""
+    r"""WITH o AS (SELECT DISTINCT conv_id AS ep, [' lines 3, 17 and 20 of speaker_A12 ', ' A2 5' || chr(10) || 'speaker_b7 ', ' nothing '][conv_id % 3 + 1] AS body FROM conversations)
+SELECT ep, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, '(^|[^A-Za-z])(\d+)', 2), lambda x: CAST(x AS BIGINT)))), ','), '') AS lines, coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(body, '[A-Za-z_]+\d+'), lambda x: replace(upper(x), 'SPEAKER_', ''))), ','), '') AS clusters FROM o"""
 )
 def override_marks(spark, d):
     """What override comments of drafts cover: line numbers and clusters."""

@@ -63,6 +63,13 @@ def probe_report(probes: DataFrame) -> DataFrame:
     return probes.select("id", F.rint(duration * 1000).cast("long").alias("duration_ms"), F.coalesce(F.array_contains(kinds, "audio"), F.lit(False)).alias("has_audio"), F.size(F.filter(kinds, lambda k: k == "subtitle")).cast("long").alias("subtitles"))
 
 
+def subtitle_streams(probes: DataFrame) -> DataFrame:
+    """ep, index, language, title, forced: the subtitle streams that probes (id, report) list."""
+    streams = F.from_json(F.get_json_object("report", "$.streams"), "array<struct<index:long,codec_type:string,tags:struct<language:string,title:string>,disposition:struct<forced:int>>>")
+    rows = probes.select(F.col("id").alias("ep"), F.explode(streams).alias("s")).filter("s.codec_type = 'subtitle'")
+    return rows.select("ep", "s.index", "s.tags.language", "s.tags.title", "s.disposition.forced")
+
+
 def best_fit(sizes: DataFrame, budget: int) -> DataFrame:
     """id, rung: of encodings (id, rung, bytes) in order of preference the first within the budget; null if none is."""
     fits = sizes.groupBy("id").agg(F.min(F.when(F.col("bytes") <= budget, F.col("rung"))).alias("rung"))
