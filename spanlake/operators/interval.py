@@ -16,22 +16,18 @@ def buckets(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width).cast("long"), F.floor(last / width).cast("long"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_MS, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_MS) -> DataFrame:
     """Pairs of rows of one key whose intervals (start_ms, end_ms; r_start_ms, r_end_ms on the right) share time.
 
     Both sides are dealt to time buckets and joined on (keys, bucket), so that a long episode spreads over tasks and no
     pair is looked at that is far apart in time; a pair counts in its first common bucket only. Column ``overlap``
-    holds the shared milliseconds. how='left' keeps left rows without a partner.
+    holds the shared milliseconds.
     """
     dealt_left = left.withColumn("_bucket", F.explode(buckets(F.col("start_ms"), F.col("end_ms"), width)))
     dealt_right = right.withColumn("_bucket", F.explode(buckets(F.col("r_start_ms"), F.col("r_end_ms"), width)))
     first = F.greatest(F.floor(F.col("start_ms") / width), F.floor(F.col("r_start_ms") / width)).cast("long")
     overlap = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
-    pairs = dealt_left.join(dealt_right, [*keys, "_bucket"]).filter((F.col("_bucket") == first) & (overlap > 0)).withColumn("overlap", overlap).drop("_bucket")
-    if how == "inner":
-        return pairs
-    extra = [c for c in pairs.columns if c not in left.columns]
-    return left.join(pairs.select(*left.columns, *extra), left.columns, "left")
+    return dealt_left.join(dealt_right, [*keys, "_bucket"]).filter((F.col("_bucket") == first) & (overlap > 0)).withColumn("overlap", overlap).drop("_bucket")
 
 
 def best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
