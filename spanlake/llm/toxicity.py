@@ -415,12 +415,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
             kinds = [pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate(kinds)], names=["matched", "calm", "strongest", "toxic", "weight"])
 
-    told = rows.mapInArrow(measured, "matched double, calm double, strongest double, toxic int, weight double")
-    told = told.orderBy("matched", "calm", "strongest", "toxic", "weight").toPandas()  # 36 bytes for each row of the sample
-    none = told["matched"].isna()
-    calm = [float(told["weight"][none & (told["toxic"] == x)].sum()) for x in (1, 0)]
-    seen = told[~none]
-    return Grammar(first.stems, weights, math.log((calm[0] + 0.5) / (calm[1] + 1)), logistic(seen[["matched", "calm", "strongest"]].to_numpy(), (seen["toxic"] == 1).to_numpy(), seen["weight"].to_numpy()))
+    told = common.saved(rows.mapInArrow(measured, "matched double, calm double, strongest double, toxic int, weight double"), "measured")
+    calm = {r["toxic"]: r["weight"] for r in told.filter("matched is null").groupBy("toxic").agg(F.round(F.sum("weight"), 9).alias("weight")).collect()}
+    columns = ["matched", "calm", "strongest", "toxic", "weight"]
+    seen = told.filter("matched is not null").toPandas().sort_values(columns)  # 36 bytes for each matched row of the sample
+    model = logistic(seen[columns[:3]].to_numpy(), (seen["toxic"] == 1).to_numpy(), seen["weight"].to_numpy())
+    return Grammar(first.stems, weights, math.log((calm.get(1, 0.0) + 0.5) / (calm.get(0, 0.0) + 1)), model)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
