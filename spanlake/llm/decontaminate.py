@@ -10,9 +10,9 @@ is the window, searched by the least word hash in it (a gram of one word) and ex
 Only fingerprints of documents are shuffled or probed. Where the benchmark's fingerprints are few, which is counted,
 they are broadcast; else the join shuffles. Texts are read again only for documents that have a match.
 
-Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; equal items
-each count; repeated rows of documents are judged alike and each returned; an empty benchmark leaves all clean.
-Input columns named like the added ones are not returned.
+Defined cases: an item without an item_id goes by the empty one, and items that share an id count as one; a null or wordless text has no words and no hits; a null or wordless item has no window; equal items
+each count; repeated rows of documents are judged alike and each returned; an empty benchmark leaves all clean;
+grams of equal hash are compared by their words; very long texts are arrays of words in one task each. Input columns named like the added ones are not returned.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ WINDOW, GRAM = 10, 5
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: fingerprints (about 40 bytes each) or matched documents (24 bytes) that may be broadcast, by count
 BROADCAST_ROWS = 500_000
-#: largest number of items whose words (a few KB each) are broadcast to the extension
-BROADCAST_ITEMS = 5_000
+#: bytes of items' words that are broadcast to the extension
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -93,14 +93,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     few = keys.count() <= BROADCAST_ROWS
     again = docs.join(F.broadcast(keys) if few else keys, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", words(F.col("text")).alias("words"))
     sides = items.select("item", F.col("words").alias("item_words"))
-    sides = F.broadcast(sides) if items.count() <= BROADCAST_ITEMS else sides
+    size = sides.agg(F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
+    sides = F.broadcast(sides) if size <= BROADCAST_BYTES else sides
     pairs = found.join(sides, "item").groupBy("_k1", "_k2", "item", "shift").agg(F.collect_set("q").alias("qs"), F.first("item_words").alias("item_words"))
     joined = pairs.join(again, ["_k1", "_k2"])
-    size = F.least(F.lit(window), F.size("item_words"))
+    span = F.least(F.lit(window), F.size("item_words"))
     # the item windows that contain a matched fingerprint, as starts in the item
-    starts = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(F.greatest(F.lit(0), q - (window - 1)), F.least(q, F.size("item_words") - size)))))
-    same = lambda s: (s + F.col("shift") >= 0) & (F.slice("words", F.greatest(F.lit(0), s + F.col("shift")) + 1, size) == F.slice("item_words", s + 1, size))
-    spans = joined.select("_k1", "_k2", "item", size.alias("len"), F.transform(F.filter(starts, same), lambda s: s + F.col("shift")).alias("at")).filter(F.size("at") > 0)
+    starts = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(F.greatest(F.lit(0), q - (window - 1)), F.least(q, F.size("item_words") - span)))))
+    same = lambda s: (s + F.col("shift") >= 0) & (F.slice("words", F.greatest(F.lit(0), s + F.col("shift")) + 1, span) == F.slice("item_words", s + 1, span))
+    spans = joined.select("_k1", "_k2", "item", span.alias("len"), F.transform(F.filter(starts, same), lambda s: s + F.col("shift")).alias("at")).filter(F.size("at") > 0)
     spans = common.saved(spans, "spans")
     runs = spans.select("_k1", "_k2", "len", F.explode("at").alias("at")).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("runs"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

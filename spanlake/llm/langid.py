@@ -9,9 +9,10 @@ The model is fit on a bounded sample of labelled rows, about ``PER_LANGUAGE`` te
 of doc_id and text among the rows that may be learned from, and counts n-grams of their whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a letter is what Unicode calls one;
-ties go to the language first in sorted order; texts whose scripts no language has are given the most frequent
-language at a score of 1 / languages; with nothing to learn from every text is ``und``; long texts are handled
-whole, in time and memory linear in their words.
+ties go to the language first in sorted order; a text none of whose scripts any language was learned with is given the most
+frequent language at a score of 1 / languages; a token without spaces in it counts by the script of its last letter; rows that
+repeat are each judged; with nothing to learn from every text is ``und``, and an empty table gives no rows; long texts are
+handled whole, in time and memory linear in their words; columns named like the added ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -86,8 +87,8 @@ class Model:
     allowed: np.ndarray  # scripts x languages
     common: int
 
-    def score(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per distinct word its score in each language and its letters."""
+    def score(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per distinct word its score in each language, its letters, and whether any language has its script."""
         slots, belongs, letters, script = grams(vocabulary)
         n, k = len(vocabulary), len(self.languages)
         out = np.empty((n, k))
@@ -95,7 +96,7 @@ class Model:
             out[:, j] = np.bincount(belongs, self.weights[slots, j], minlength=n)[:n]
         out /= len(ORDERS)
         out[(letters > 0)[:, None] & ~self.allowed[script]] += 4 * UNSEEN
-        return out.astype(np.float32), letters
+        return out.astype(np.float32), letters, (letters > 0) & self.allowed[script].any(axis=1)
 
 
 def learnable(docs: DataFrame) -> Column:
@@ -170,13 +171,13 @@ def viterbi(codes: np.ndarray, offsets: np.ndarray, scores: np.ndarray, penalty:
     return label
 
 
-def label_tokens(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token labels, letters of each token, offsets of texts."""
+def label_tokens(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token labels, letters of each token, whether its script is known, offsets of texts."""
     codes, offsets, vocabulary = words.coded(texts)
     if not vocabulary:
-        return np.empty(0, np.int64), np.empty(0, np.int64), offsets
-    scores, letters = model.score(vocabulary)
-    return viterbi(codes, offsets, scores), letters[codes], offsets
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), offsets
+    scores, letters, known = model.score(vocabulary)
+    return viterbi(codes, offsets, scores), letters[codes], known[codes], offsets
 
 
 def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -186,15 +187,20 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
         return rows.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
+    held_model = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages weights, 4 bytes each
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held_model.value
         k = len(model.languages)
         for batch in batches:
             for part in words.slices(batch, "text"):
-                label, letters, offsets = label_tokens(model, part.column("text"))
+                label, letters, known, offsets = label_tokens(model, part.column("text"))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 held = np.bincount(owner * k + label, letters, minlength=part.num_rows * k).reshape(-1, k)
                 total, best = held.sum(axis=1), held.argmax(axis=1)
                 share = held.max(axis=1) / np.maximum(total, 1)
+                foreign = (total > 0) & (np.bincount(owner[known], minlength=part.num_rows) == 0)
+                best, share = np.where(foreign, model.common, best), np.where(foreign, 1 / k, share)
                 told = np.array(model.languages, object)[best]
                 told[total == 0] = "und"
                 added = [pa.array(told.tolist(), pa.string()), pa.array(np.where(total == 0, 0.0, share))]
@@ -216,7 +222,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
-                label, letters, offsets = label_tokens(model, part.column("text"))
+                label, letters, _, offsets = label_tokens(model, part.column("text"))
                 out = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     edge = np.concatenate([[a], np.flatnonzero(np.diff(label[a:b])) + a + 1, [b]]) if b > a else np.array([a])

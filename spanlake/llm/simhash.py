@@ -1,20 +1,23 @@
 """SimHash near-duplicates: 64-bit fingerprints, compared exactly in tiles with exclusive-or and bit counts.
 
-Fingerprints are compared once each, however many documents share one. Two fingerprints within ``radius`` bits agree
-on at least one of radius + 1 bit blocks, so only fingerprints that share a block are compared; of those, all
-are. A block value shared by many is cut into tiles of one population count and at most about ``TILE`` rows, and only
+Fingerprints are compared once each, however many documents share one. Cut into blocks of bits, two fingerprints
+within ``radius`` bits agree on all blocks but ``radius`` at least, so only fingerprints that share the values of so many blocks
+are compared; of those, all are. There are as many blocks as keep the fingerprints that share a key by chance few (three up to some
+16 million distinct ones, four up to some 30 billion), so that comparisons grow with the fingerprints, not their square. A key shared by many is cut into tiles of one population count and at most about ``TILE`` rows, and only
 pairs of tiles whose population counts differ by at most the radius meet, each in a unit of its own. Within a unit
 the comparison is by tiles too, and what leaves it is a spanning forest of its links, never all pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are one shingle; rows with a null doc_id get the component of their fingerprint; equal texts have equal
-fingerprints; an empty table gives no rows.
+fingerprints; rows that repeat are each returned; a long text is hashed in chunks of shingles; input columns other than doc_id and text
+are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,11 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 SEED = 42
+SPACE = re.compile(rb"[ \t-\r]+")
+#: shingles hashed at once; bytes of text from which word ends are kept as numbers of an array
+CHUNK, LONG = 1 << 16, 1 << 20
+#: fingerprints that may share a key by chance
+CHANCE = 8
 TILE = 1024
 SUB = 256
 FEW = 24
@@ -32,18 +40,18 @@ FEW = 24
 
 def text_bits(text: str | None, shingle: int) -> bytes:
     """The fingerprint's 8 bytes, most significant first."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    line = SPACE.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip()
+    if not line:
         return bytes(8)
-    line = b" ".join(words)
-    digest = xxhash.xxh64_digest
-    if len(words) < shingle:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        hashes = [digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).reshape(-1, 64)
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes()
+    ends = [*np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist(), len(line)] if len(line) < LONG else np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
+    n = max(1, len(ends) - shingle + 1)
+    digest, sums = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    for i in range(0, n, CHUNK):
+        stops = ends[i + shingle - 1 : min(n, i + CHUNK) + shingle - 1] if len(ends) >= shingle else [len(line)]
+        starts = [0 if k == 0 else ends[k - 1] + 1 for k in range(i, min(n, i + CHUNK))]
+        hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)])
+        sums += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) -> DataFrame:
@@ -122,13 +130,23 @@ def compare(radius: int):
     return run
 
 
-def units(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(fp) -> (unit, pc, fp): every two fingerprints within the radius share a unit at least once."""
+def blocks_for(count: int, radius: int) -> int:
+    """The least number of blocks whose keys, of all but ``radius`` of them, hardly meet by chance."""
     parts = radius + 1
+    while count > CHANCE << 64 * (parts - radius) // parts and parts < 16:
+        parts += 1
+    return parts
+
+
+def units(distinct: DataFrame, radius: int, tile: int = TILE, parts: int | None = None) -> DataFrame:
+    """(fp) -> (unit, pc, fp): every two fingerprints within the radius share a unit at least once."""
+    parts = parts or blocks_for(distinct.count(), radius)
     edges = [round(64 * i / parts) for i in range(parts + 1)]
+    keep = lambda chosen: sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     blocks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("v"))
-        for i in range(parts)
+        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(keep(chosen)))).alias("v"))
+        for i, chosen in enumerate(combinations(range(parts), parts - radius))
     ])
     rows = distinct.select("fp", F.bit_count("fp").alias("pc"), F.explode(blocks).alias("k")).select("fp", "pc", "k.i", "k.v")
     tiles = rows.groupBy("i", "v", "pc").agg(F.count(F.lit(1)).alias("n"))

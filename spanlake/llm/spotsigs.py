@@ -9,9 +9,10 @@ an edit changes only signatures near it. Likeness is the Jaccard share of two se
 rule the threshold out is not compared.
 
 Defined cases: a null text counts as empty; an anchor that no other word follows stands alone; a text without letters
-has the empty fingerprint, and two empty fingerprints have likeness 1 exactly if their texts are equal; of rows that
+has the empty fingerprint; likeness is one of fingerprints, so that of equal ones, the empty ones too, is 1; of rows that
 repeat a doc_id the one with the smaller text hash stands first; rows with a null doc_id stand before all; a single
-document is its own next.
+document is its own next; a long text is read whole, with its signatures alone held beside it; an empty table gives no rows; of the
+input only doc_id and text are read, whatever else it has.
 """
 
 from __future__ import annotations
@@ -69,7 +70,9 @@ def parse(printed: str) -> frozenset[int]:
 
 
 def likeness(a: frozenset[int], b: frozenset[int], least: float = 0.0) -> float:
-    """Jaccard share; 0 without comparing where the lengths alone keep it under ``least``."""
+    """Jaccard share, 1 of two empty sets; 0 without comparing where the lengths alone keep it under ``least``."""
+    if not a and not b:
+        return 1.0
     if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
     both = len(a & b)
@@ -114,9 +117,6 @@ def op10_fingerprints(docs: DataFrame, anchors: str = ANCHORS) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness and the next document's."""
     common_words = frozenset(w.encode() for w in anchors.split())
 
-    def alike(a: frozenset[int], b: frozenset[int], x: str, y: str) -> float:
-        return likeness(a, b) if a or b else float(x == y)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -134,7 +134,7 @@ def op10_fingerprints(docs: DataFrame, anchors: str = ANCHORS) -> DataFrame:
                     edited = own[: len(own) - cut] + text[:cut]
                     edited_signs = signatures(edited, common_words)
                     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((own_id, len(own), sha, fingerprint(own_signs), fingerprint(edited_signs), alike(own_signs, edited_signs, own, edited), alike(own_signs, signs, own, text)))
+                    rows.append((own_id, len(own), sha, fingerprint(own_signs), fingerprint(edited_signs), likeness(own_signs, edited_signs), likeness(own_signs, signs)))
                     size += len(rows[-1][3]) + len(rows[-1][4])
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

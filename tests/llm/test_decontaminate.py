@@ -54,7 +54,7 @@ def test_shuffled_paths_agree(planted, monkeypatch):
     keyed = d.keyed(rows).select("_k1", "_k2", "text")
     one = sorted(map(str, d.hits(keyed, bench).collect()))
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(d, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert sorted(map(str, d.hits(keyed, bench).collect())) == one
 
 

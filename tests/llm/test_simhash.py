@@ -78,6 +78,26 @@ def test_hot_blocks_are_tiled(spark, monkeypatch):
     assert found(spark, fps) == wanted(fps)
 
 
+def test_more_blocks_lose_no_link(spark, monkeypatch):
+    fps = random_fingerprints(7, 40, 14)
+    for parts in (4, 5):
+        monkeypatch.setattr(simhash, "blocks_for", lambda n, r, parts=parts: parts)
+        assert found(spark, fps) == wanted(fps)
+    monkeypatch.undo()
+    assert [simhash.blocks_for(n, 2) for n in (0, 16 << 20, (16 << 20) + 1, 8 << 32, (8 << 32) + 1)] == [3, 3, 4, 4, 5]
+
+
+def test_long_texts_are_hashed_in_chunks(monkeypatch):
+    pick = random.Random(6)
+    text = " \n".join(pick.choice(["aa", "b", "ccc", "Été"]) for _ in range(3000))
+    want = bits(text)
+    for chunk, long in ((7, 1 << 20), (1000, 10), (1 << 16, 1)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "LONG", long)
+        for t, w in ((text, want), ("a", bits("a")), ("a b", bits("a b")), (" a b  c\x0b", bits("a b c")), ("", 0), (" \t", 0)):
+            assert int.from_bytes(simhash.text_bits(t, 3), "big") == w
+
+
 def test_long_chain(spark):
     fps = [(1 << k) - 1 for k in range(0, 64)]
     assert found(spark, fps) == [fps]
