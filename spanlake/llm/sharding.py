@@ -3,15 +3,17 @@
 Units are groups of equal texts, kept in one shard together. A node of the tree is split across its widest metadata
 dimension at the weighted median of its units' bytes, until each leaf is one shard of about the target bytes.
 Medians are found without moving rows: units are counted into bins of the node's sort key, the bin that holds the
-median is opened into finer bins, and so on until it is a single key or too light to matter. The driver only sees
-(nodes x bins) sums, whatever the corpus. A group heavier than ``HEAVY`` shards cannot stay whole if shards are to be near-equal; it is
-cut into pieces by a hash of doc_id.
+median is opened into finer bins, and so on until it is a single key or too light to matter. The driver sees sums of
+(nodes x bins) of a level and rules of as many nodes, whatever the corpus; with very many shards the bins get coarser and the passes more, so that a
+level's sums stay near ``SUMS``. A group heavier than ``HEAVY`` shards cannot stay whole if shards are to be near-equal; it is
+cut into pieces by a hash of doc_id. Rows of a group of very many small texts are not gathered to learn their shard.
 
 Dimensions: doc_id, n_chars, source, lang, each scaled to 0..1 over the corpus, and the weight of a unit, whose
 width counts once single units are heavy against the node (they then are placed first and light ones fill up).
 
-Defined cases: a null text counts as empty bytes; null metadata is the smallest value; repeated rows are separate
-rows of the same unit; an empty table gives no rows; input columns named like the added ones are not kept.
+Defined cases: a null text counts as empty bytes; null metadata, a null doc_id too, is the smallest value; repeated rows are separate
+rows of the same unit and of slots of their own; ties of a key are broken by a hash of the text; a long text is only measured; an empty table gives no
+rows; input columns named like the added ones are not kept.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ DIMS = ["doc_id", "n_chars", "source", "lang", "weight"]
 SCALE, TIE = 20, 42
 BITS, STEP = SCALE + TIE, 11
 HEAVY = 1.0
+#: sums of one pass over a level that the driver takes
+SUMS = 2_000_000
 
 
 def coordinate(df: DataFrame, name: str) -> Column:
@@ -57,7 +61,9 @@ def split_tree(units: DataFrame, n_shards: int, exact: float = 0.002) -> list[di
     spark, nodes, level = units.sparkSession, [], [{"id": 1, "first": 0, "shards": n_shards}]
     placed = units
     while level := [x for x in level if x["shards"] > 1]:
-        ranges = placed.filter(F.col("_node").isin([x["id"] for x in level])).groupBy("_node").agg(
+        wanted = F.broadcast(spark.createDataFrame([(x["id"],) for x in level], "_node long"))  # at most as many as shards
+        step = max(4, min(STEP, (SUMS // len(level)).bit_length() - 1))
+        ranges = placed.join(wanted, "_node").groupBy("_node").agg(
             F.sum("weight").alias("total"), F.max("weight").alias("most"), *[(F.max(f"k_{d}") - F.min(f"k_{d}")).alias(d) for d in DIMS]
         )
         seen = {r["_node"]: r for r in ranges.collect()}
@@ -73,13 +79,16 @@ def split_tree(units: DataFrame, n_shards: int, exact: float = 0.002) -> list[di
             x["cut"] = 0
         while pending := [x for x in level if x["open"]]:
             # bins of the next bits of the key, inside the open bin of each node
-            ask = [(x["id"], DIMS.index(x["dim"]), x["shift"], max(0, x["shift"] - STEP), x["low"]) for x in pending]
+            ask = [(x["id"], DIMS.index(x["dim"]), x["shift"], max(0, x["shift"] - step), x["low"]) for x in pending]
             asked = placed.join(F.broadcast(spark.createDataFrame(ask, "_node long, dim int, shift int, finer int, low long")), "_node")
             asked = asked.withColumn("_key", sort_key()).filter("shiftright(_key, shift) = shiftright(low, shift)")
             bins = asked.groupBy("_node", F.expr("shiftright(_key, finer)").alias("_bin")).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+            by_node: dict[int, list] = {}
+            for r in bins:
+                by_node.setdefault(r["_node"], []).append((r["_bin"], int(r["w"]), r["n"]))
             for x in pending:
-                shift = max(0, x["shift"] - STEP)
-                own = sorted((r["_bin"], int(r["w"]), r["n"]) for r in bins if r["_node"] == x["id"])
+                shift = max(0, x["shift"] - step)
+                own = sorted(by_node[x["id"]])
                 sums = x["below"] + np.cumsum([w for _, w, _ in own])
                 at = min(int(np.searchsorted(sums, x["want"], side="left")), len(own) - 1)
                 key, w, n = own[at]
@@ -130,14 +139,17 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     if n_shards is None:
         n_shards = max(1, -(-total // target_bytes)) if target_bytes else 1
     # units heavier than a shard are at most n_shards many
-    heavy = slim.groupBy("_u").agg(F.sum("size").alias("w")).filter(F.col("w") > HEAVY * total / n_shards).collect()
-    piece = F.lit(0).cast("long")
-    for r in heavy:
-        piece = F.when(F.col("_u") == r["_u"], F.pmod(F.col("_h"), F.lit(int(r["w"] * 16 * n_shards // total) + 1))).otherwise(piece)
-    units = slim.groupBy("_u", piece.alias("_p")).agg(F.sum("size").alias("weight"), *[F.min(f"_{c}").alias(f"_{c}") for c in DIMS if c != "weight"])
+    heavy = slim.groupBy("_u").agg(F.sum("size").alias("w")).filter(F.col("w") > HEAVY * total / n_shards)
+    pieces = (F.floor(F.col("w") * 16 * n_shards / max(total, 1)) + 1).cast("long")
+    heavy = common.saved(heavy.select("_u", pieces.alias("_pieces")), "heavy")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(heavy), "_u", "left").withColumn("_p", F.coalesce(F.pmod("_h", "_pieces"), F.lit(0)).cast("long")).drop("_pieces")
+
+    units = cut(slim).groupBy("_u", "_p").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *[F.min(f"_{c}").alias(f"_{c}") for c in DIMS if c != "weight"])
     scaled = lambda c: F.floor((F.col(f"_{c}") - spans[f"lo_{c}"]) / max(spans[f"hi_{c}"] - spans[f"lo_{c}"], 1e-9) * ((1 << SCALE) - 1)).cast("long") if total else F.lit(0).cast("long")
     light = (F.lit((1 << SCALE) - 1) - F.least(F.lit((1 << SCALE) - 1), F.floor(F.log2("weight") * 16384))).cast("long")
-    units = units.select("_u", "_p", "weight", F.pmod(F.xxhash64("_u", "_p"), F.lit(1 << TIE)).alias("_tie"), *[scaled(c).alias(f"k_{c}") for c in DIMS if c != "weight"], light.alias("k_weight"), F.lit(1).cast("long").alias("_node"))
+    units = units.select("_u", "_p", "weight", "n", F.pmod(F.xxhash64("_u", "_p"), F.lit(1 << TIE)).alias("_tie"), *[scaled(c).alias(f"k_{c}") for c in DIMS if c != "weight"], light.alias("k_weight"), F.lit(1).cast("long").alias("_node"))
     units = common.saved(units, "units")
     nodes = split_tree(units, n_shards)
     placed, by_depth = units, {}
@@ -146,12 +158,15 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     for depth in sorted(by_depth):
         placed = descend(placed, by_depth[depth])
     shards = spark.createDataFrame(list(leaves(nodes).items()), "_node long, shard int")
-    placed = common.saved(placed.join(F.broadcast(shards), "_node").select("_u", "_p", "shard"), "placed")
-    rows = slim if not keep else prepared(docs, keep)
-    rows = rows.withColumn("_p", piece).select("doc_id", *keep, "size", "text_crc32", "_u", "_p", "_h")
-    rows = common.saved(rows.join(placed, ["_u", "_p"]), "sharded")
-    rows = common.running(rows.withColumn("_one", F.lit(1).cast("long")), ["shard"], ["_h", "doc_id", "_u"], "_h", {"slot": "_one"})
-    return rows.select("doc_id", *keep, "size", "text_crc32", "shard", "slot")
+    placed = common.saved(placed.join(F.broadcast(shards), "_node").select("_u", "_p", "n", "shard"), "placed")
+    rows = slim if not keep else common.saved(prepared(docs, keep), "shard")
+    own = ["doc_id", *keep, "size", "text_crc32", "_u", "_h"]
+    rows = common.hot_join(cut(rows).select(*own, "_p"), placed, ["_u", "_p"], "n", slim.count())
+    # rows that are equal in all that is returned are numbered as one and then each gets its own slot
+    rows = common.saved(rows.groupBy(*own, "shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.xxhash64("_h", "_u")), "sharded")
+    most = rows.agg(F.max("_n")).first()[0] or 1
+    rows = common.repeated(common.running(rows, ["shard"], ["_s", "doc_id", "_u", *keep], "_s", {"_first": "_n"}), "_n", most, "_j")
+    return rows.select("doc_id", *keep, "size", "text_crc32", "shard", (F.col("_first") + F.col("_j")).alias("slot"))
 
 
 def op9_shard_documents(spark, sf_dir: str) -> DataFrame:
