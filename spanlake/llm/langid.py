@@ -33,6 +33,8 @@ MODULUS, HELD_OUT = 4, 2
 SLOTS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 SWITCH = 6.0
+#: bytes of text whose tokens are labelled at once; a token takes some 60 bytes meanwhile
+SLICE_BYTES = 2 << 20
 UNSEEN = -8.0
 # First code points of script ranges (fixed values).
 SCRIPTS = """
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), width))
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 codes, offsets, vocabulary = words.coded(part.column("text"))
                 if not vocabulary:
                     continue
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
         model = held_model.value
         k = len(model.languages)
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 label, letters, known, offsets = label_tokens(model, part.column("text"))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 held = np.bincount(owner * k + label, letters, minlength=part.num_rows * k).reshape(-1, k)
@@ -221,7 +223,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 label, letters, _, offsets = label_tokens(model, part.column("text"))
                 out = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
