@@ -35,6 +35,8 @@ ORDERS = (1, 2, 3, 4)
 SWITCH = 6.0
 #: bytes of text whose tokens are labelled at once; a token takes some 60 bytes meanwhile
 SLICE_BYTES = 2 << 20
+#: distinct words whose n-grams are held at once; a word takes about a kilobyte meanwhile
+WORDS_AT_ONCE = 8192
 UNSEEN = -8.0
 # First code points of script ranges (fixed values).
 SCRIPTS = """
@@ -91,6 +93,10 @@ class Model:
 
     def score(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per distinct word its score in each language, its letters, and whether any language has its script."""
+        parts = [self._score(vocabulary[a : a + WORDS_AT_ONCE]) for a in range(0, len(vocabulary), WORDS_AT_ONCE)]
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def _score(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slots, belongs, letters, script = grams(vocabulary)
         n, k = len(vocabulary), len(self.languages)
         out = np.empty((n, k))
@@ -124,12 +130,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 codes, offsets, vocabulary = words.coded(part.column("text"))
                 if not vocabulary:
                     continue
-                slots, belongs, letters, script = grams(vocabulary)
                 spoken = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(offsets))
-                for j in np.unique(spoken):
-                    often = np.bincount(codes[spoken == j], minlength=len(vocabulary)).astype(float)
-                    sums[j, :SLOTS] += np.bincount(slots, often[belongs], minlength=SLOTS)[:SLOTS]
-                    sums[j, SLOTS:] += np.bincount(script, often * letters, minlength=len(SCRIPT_NAMES))
+                often = {j: np.bincount(codes[spoken == j], minlength=len(vocabulary)).astype(float) for j in np.unique(spoken)}
+                for a in range(0, len(vocabulary), WORDS_AT_ONCE):
+                    slots, belongs, letters, script = grams(vocabulary[a : a + WORDS_AT_ONCE])
+                    for j, n in often.items():
+                        n = n[a : a + WORDS_AT_ONCE]
+                        sums[j, :SLOTS] += np.bincount(slots, n[belongs], minlength=SLOTS)[:SLOTS]
+                        sums[j, SLOTS:] += np.bincount(script, n * letters, minlength=len(SCRIPT_NAMES))
         lang, slot = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"lang": lang.astype(np.int32), "slot": slot.astype(np.int32), "n": sums[lang, slot]})
 
