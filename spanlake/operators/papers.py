@@ -20,8 +20,8 @@ RELATIONS = {"ON_SCREEN": "说话者在画面内", "OFF_SCREEN": "说话者在
 
 
 def clock_of(timecode: Column) -> Column:
-    """HH:MM:SS at the start of a timecode; empty if there is none."""
-    return F.regexp_extract(F.trim(F.coalesce(timecode, F.lit(""))), r"^(\d{1,2}:\d{2}:\d{2})", 1)
+    """HH:MM:SS at the start of a timecode, with as many digits of hours as it has; empty if there is none."""
+    return F.regexp_extract(F.trim(F.coalesce(timecode, F.lit(""))), r"^(\d+:\d{2}:\d{2})", 1)
 
 
 def slug_line(text: Column) -> Column:

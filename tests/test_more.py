@@ -96,6 +96,14 @@ def test_headings(spark):
     assert got[1] == "## 场 2【屋\\顶 $1】\n**内景·日**｜屋\\顶 $1\n**A**：b" and got[2] == "## 场 3【未命名】\n"
 
 
+def test_overview_keeps_times_of_a_hundred_hours(spark):
+    codes = [("99:59:59.000", "100:00:04.250"), ("1234:00:00", " 1234:00:05.9 "), ("1:02:03", "x"), ("x100:00:00", "100:00:00")]
+    drafts = spark.createDataFrame([(1, i, "**内景·日**｜屋\n", *c) for i, c in enumerate(codes, 1)], "ep long, scene long, text string, a string, b string")
+    drafts = drafts.select("ep", "scene", "text", papers.clock_of(F.col("a")).alias("start_tc"), papers.clock_of(F.col("b")).alias("end_tc"))
+    got = papers.overview(papers.headed(drafts).withColumn("sequence", F.lit(None).cast("string"))).first()["overview"].split("\n")[2:]
+    assert [x.split(" | ")[-1] for x in got] == ["99:59:59 - 100:00:04 |", "1234:00:00 - 1234:00:05 |", " |", " |"]
+
+
 def test_outline_that_does_not_fit_is_solved_flat(spark):
     shots = spark.createDataFrame([(e, i, i * 20_000, (i + 1) * 20_000) for e in (1, 2) for i in range(6)], "ep long, pos long, r_start_ms long, r_end_ms long")
     walls = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 5)], "ep long, wall long, boundary long")
