@@ -125,7 +125,8 @@ def appendix(relations: DataFrame, counts: DataFrame) -> DataFrame:
     rows = relations.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "relation", line.alias("line")))).alias("lines"))
     rows = counts.join(rows, "ep", "left")
     table = F.concat(F.coalesce(F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")), F.lit("")), F.lit("| SILENT_ACTION（纯视听镜头） | "), F.col("silent").cast("string"), F.lit(" | 无对白的关键视听节拍 |"))
-    share = F.format_string("%.1f%%", F.lit(100.0) * F.col("spliced") / F.greatest(F.lit(1).cast("long"), F.col("total")))
+    share = F.lit(100.0) * F.col("spliced") / F.greatest(F.lit(1).cast("long"), F.col("total"))
+    share = F.concat(F.call_function("format_number", share, F.lit("0.0")), F.lit("%"))  # halves to even; format_string rounds them up
     text = F.concat(
         F.lit("\n---\n\n## 附：本集声画关系统计\n\n| 关系类型 | 条数 | 说明 |\n| :--- | :--- | :--- |\n"), table,
         F.format_string("\n\n> **台词保真说明**：全片 %d 条字幕，本次拼装 %d/%d 条，覆盖率 ", "total", "spliced", "total"), share,

@@ -104,6 +104,13 @@ def test_overview_keeps_times_of_a_hundred_hours(spark):
     assert [x.split(" | ")[-1] for x in got] == ["99:59:59 - 100:00:04 |", "1234:00:00 - 1234:00:05 |", " |", " |"]
 
 
+def test_share_of_lines_rounds_halves_to_even(spark):
+    told = {(0, 0): "0.0%", (13, 16): "81.2%", (39, 48): "81.2%", (3, 16): "18.8%", (1601, 2000): "80.0%", (7, 7): "100.0%", (1, 3): "33.3%"}
+    counts = spark.createDataFrame([(i, t, s, 0, 0, 0, 0) for i, (s, t) in enumerate(told)], "ep long, total long, spliced long, silent long, named long, descriptive long, untraced long")
+    ends = papers.appendix(spark.createDataFrame([], "ep long, relation string, n long"), counts).orderBy("ep").collect()
+    assert [r["appendix"].split("覆盖率 ")[1].split("；")[0] for r in ends] == list(told.values())
+
+
 def test_outline_that_does_not_fit_is_solved_flat(spark):
     shots = spark.createDataFrame([(e, i, i * 20_000, (i + 1) * 20_000) for e in (1, 2) for i in range(6)], "ep long, pos long, r_start_ms long, r_end_ms long")
     walls = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 5)], "ep long, wall long, boundary long")
