@@ -16,8 +16,8 @@ def pending(slots: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int = 4) -> DataFrame:
-    """The rows of one round, ``size`` an episode."""
-    at = F.row_number().over(Window.partitionBy("ep").orderBy("ord"))
+    """The rows of one round, ``size`` an episode, by ord; slots of the same ord by slot_id, so that no round asks for another's."""
+    at = F.row_number().over(Window.partitionBy("ep").orderBy("ord", "slot_id"))
     return rows.withColumn("_n", at).filter(F.col("_n").between(number * size + 1, (number + 1) * size)).drop("_n")
 
 

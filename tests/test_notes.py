@@ -55,6 +55,12 @@ def test_signoff(spark):
     assert names == ["a", "c"]
 
 
+def test_slots_of_the_same_ord_are_asked_once(spark):
+    tied = spark.createDataFrame([(1, s, 1 + (s == "S2")) for s in ("S8", "S2", "S1")], "ep long, slot_id string, ord long").coalesce(1)
+    for table in (tied, tied.orderBy("slot_id")):
+        assert [[r["slot_id"] for r in signoff.page(table, k, 1).collect()] for k in range(3)] == [["S1"], ["S8"], ["S2"]]
+
+
 def test_sessions_stream_like_batches(spark, tmp_path):
     rows = [(e, f"2024-01-0{d} 0{h}:00:00") for e in (1, 2) for d in (1, 2) for h in (0, 1, 7)]
     table = spark.createDataFrame(rows, "ep long, at string").select("ep", F.col("at").cast("timestamp").alias("ts"))
