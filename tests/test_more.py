@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import identity, papers, scenes, segment, signoff, windows
+from spanlake.plans import papers as plans
 from spanlake.plans import verbs
 from spanlake.sources import artifacts, connectors, sinks, workspace
 
@@ -111,6 +112,13 @@ def test_share_of_lines_rounds_halves_to_even(spark):
     assert [r["appendix"].split("覆盖率 ")[1].split("；")[0] for r in ends] == list(told.values())
 
 
+def test_scene_headings_of_late_episodes(spark, tmp_path):
+    spark.createDataFrame([(e, 0, "user", "x") for e in (5900, 5902, 600_000)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["ep"], r["scene"]): r["text"].split("\n")[0] for r in plans.scene_headings(spark, str(tmp_path)).collect()}
+    assert got[5900, 1].endswith("（99:58:20 - 99:58:25）") and got[5902, 2].endswith("（100:00:22 - 100:00:27）")
+    assert got[600_000, 1].endswith("（10166:40:00 - 10166:40:05）") and len(got) == 6
+
+
 def test_outline_that_does_not_fit_is_solved_flat(spark):
     shots = spark.createDataFrame([(e, i, i * 20_000, (i + 1) * 20_000) for e in (1, 2) for i in range(6)], "ep long, pos long, r_start_ms long, r_end_ms long")
     walls = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 5)], "ep long, wall long, boundary long")
