@@ -21,13 +21,17 @@ def overlap_ratio(s: Column, e: Column, ws: Column, we: Column) -> Column:
     return overlap_ms(s, e, ws, we) / F.greatest(F.lit(1).cast("long"), e - s)
 
 
+def whole_clock(s: Column) -> Column:
+    """Whole seconds as HH:MM:SS with as many digits of hours as they have; by integers, as a double loses seconds from 2^53 ms on."""
+    unit = lambda n: F.call_function("div", s, F.lit(n))
+    part = lambda c: F.when(F.length(c.cast("string")) < 2, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
+    return F.concat(part(unit(3600)), F.lit(":"), part(unit(60) % 60), F.lit(":"), part(s % 60))
+
+
 def timecode(ms: Column) -> Column:
     """Milliseconds as HH:MM:SS.mmm."""
     x = F.greatest(F.lit(0).cast("long"), ms.cast("long"))
-    part = lambda unit, mod: F.lpad((F.floor(x / unit) % mod).cast("string"), 2, "0")
-    hours = F.floor(x / 3_600_000).cast("string")
-    hours = F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours)
-    return F.concat(hours, F.lit(":"), part(60_000, 60), F.lit(":"), part(1000, 60), F.lit("."), F.lpad((x % 1000).cast("string"), 3, "0"))
+    return F.concat(whole_clock(F.call_function("div", x, F.lit(1000))), F.lit("."), F.lpad((x % 1000).cast("string"), 3, "0"))
 
 
 def clock(ms: Column) -> Column:

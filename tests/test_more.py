@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spanlake.functions import time
 from spanlake.operators import identity, papers, scenes, segment, signoff, windows
 from spanlake.plans import papers as plans
 from spanlake.plans import verbs
@@ -119,6 +120,20 @@ def test_scene_headings_of_late_episodes(spark, tmp_path):
     assert got[600_000, 1].endswith("（10166:40:00 - 10166:40:05）") and len(got) == 6
 
 
+def test_scene_headings_of_any_key(spark, tmp_path):
+    heads = lambda path: {(r["ep"], r["scene"]): r["text"] and r["text"].split("\n")[0] for r in plans.scene_headings(spark, path).collect()}
+    keys = [(e, 0, "user", "x") for e in (10_000_000_000_008, 10**17, -2, -100, None)]
+    spark.createDataFrame(keys, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/a/conversations.parquet")
+    got = heads(f"{tmp_path}/a")
+    assert got[10_000_000_000_008, 1].endswith("（169444444444:34:48 - 169444444444:34:53）")  # 2^53 ms and more
+    assert got[10**17, 1].endswith("（1694444444444444:26:40 - 1694444444444444:26:45）")  # more than 2^63 ms
+    assert got[-2, 1] is None and got[-2, 2] == "## 场 2【旧题|A】（00:-2:-2 - 00:-1:-57）" and got[-100, 2] == "## 场 2【user】（-1:-41:-40 - -1:-41:-35）"
+    assert got[None, 1] is None and got[None, 2] is None and len(got) == 10
+    spark.createDataFrame([(35_206, 0, "user", "x")], "conv_id int, turn long, role string, text string").write.parquet(f"{tmp_path}/b/conversations.parquet")
+    assert heads(f"{tmp_path}/b")[35_206, 1].endswith("（596:32:46 - 596:32:51）")
+    assert spark.range(1).select(time.timecode(F.lit(610_000_000_000_488_000))).first()[0] == "169444444444:34:48.000"
+
+
 def test_outline_that_does_not_fit_is_solved_flat(spark):
     shots = spark.createDataFrame([(e, i, i * 20_000, (i + 1) * 20_000) for e in (1, 2) for i in range(6)], "ep long, pos long, r_start_ms long, r_end_ms long")
     walls = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 5)], "ep long, wall long, boundary long")
